@@ -20,7 +20,7 @@ DELETED_AT = "_deleted_at"
 
 def snapshot(df: DataFrame, commit_ts: Column | None = None) -> DataFrame:
     """The initial copy of a table, as changes that any logged change outranks."""
-    ts = commit_ts if commit_ts is not None else F.lit(None).cast("timestamp")
+    ts = commit_ts if commit_ts is not None else F.lit(None).cast("timestamp_ntz")
     return df.select(
         F.lit(0).cast("bigint").alias("lsn"), F.lit(SNAPSHOT).alias("op"), ts.alias("commit_ts"),
         *df.columns,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -69,10 +70,14 @@ def bounded_range(df: DataFrame, cursor: str, start: Any, end: Any) -> DataFrame
     return df.filter((F.col(cursor) >= lower) & (F.col(cursor) < upper))
 
 
-def drop_loaded(df: DataFrame, target: DataFrame, key: Sequence[str], cursor: str) -> DataFrame:
-    """Leave out rows that an appending load with a lag would otherwise store twice."""
-    seen = target.select(*key, cursor)
-    return df.join(seen, [*key, cursor], "left_anti")
+def drop_loaded(df: DataFrame, target: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Leave out rows that an appending load would store twice: those that the target holds
+    with equal ``columns`` (NULL equals NULL). Pass only the target's re-read range."""
+    seen = target.select(*[F.col(c).alias(f"__seen_{c}") for c in columns])
+    same = reduce(
+        lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__seen_{c}")) for c in columns]
+    )
+    return df.join(seen, same, "left_anti")
 
 
 def cursor_state(frames: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
