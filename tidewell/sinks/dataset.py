@@ -39,15 +39,16 @@ SMALL_DELTA_BYTES = 64 * 1024 * 1024
 # A commit that was begun and left alone for so long belongs to a writer that died.
 ABANDONED_SECONDS = 3600
 
-LOADS_SCHEMA = T._parse_datatype_string(
-    "load_id string, pipeline string, disposition string, status string, n_rows bigint, "
-    "n_rejected bigint, null_cursors bigint, min_cursor string, max_cursor string, "
-    "state_cursor string, chunk_start timestamp_ntz, chunk_end timestamp_ntz, "
-    "new_columns array<string>, schema_json string, key array<string>, n_buckets int, "
-    "base_seq bigint, layout map<int,array<string>>, started_at timestamp, "
-    "finished_at timestamp, error string"
-)
-_PARTITIONS = [T.StructField("table_name", T.StringType()), T.StructField("seq", T.LongType())]
+LOADS_COLUMNS = {
+    "load_id": "string", "pipeline": "string", "disposition": "string", "status": "string",
+    "n_rows": "bigint", "n_rejected": "bigint", "null_cursors": "bigint",
+    "min_cursor": "string", "max_cursor": "string", "state_cursor": "string",
+    "chunk_start": "timestamp_ntz", "chunk_end": "timestamp_ntz",
+    "new_columns": "array<string>", "schema_json": "string", "key": "array<string>",
+    "n_buckets": "int", "base_seq": "bigint", "layout": "map<int,array<string>>",
+    "started_at": "timestamp", "finished_at": "timestamp", "error": "string",
+}
+LOADS_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in LOADS_COLUMNS.items())
 
 
 class ConcurrentLoad(RuntimeError):
@@ -141,7 +142,7 @@ class Dataset:
 
     def loads(self) -> DataFrame:
         """The audit table: every finished load, and failed ones with their error."""
-        schema = T.StructType([*LOADS_SCHEMA.fields, *_PARTITIONS])
+        schema = f"{LOADS_SCHEMA}, table_name string, seq bigint"
         frames = [
             self.spark.read.schema(schema).option("basePath", path).parquet(path)
             for path in (f"{self.path}/_loads", f"{self.path}/_failed")
@@ -179,7 +180,7 @@ class Dataset:
             chosen = head.layout if buckets is None else [b for b in buckets if b in head.layout]
             paths = [f"{folder}/load={i}/{BUCKET}={b}" for b in chosen for i in head.layout[b]]
         else:
-            commits = self.spark.read.schema(T.StructType([*LOADS_SCHEMA.fields, _PARTITIONS[1]]))
+            commits = self.spark.read.schema(f"{LOADS_SCHEMA}, seq bigint")
             ids = (
                 commits.option("basePath", self._commits(table)).parquet(self._commits(table))
                 .filter((F.col("seq") >= head.base_seq) & (F.col("n_rows") > 0)).select("load_id")
@@ -351,7 +352,7 @@ class Dataset:
 
     def _commit(self, table: str, seq: int, row: Mapping[str, Any]) -> None:
         """Compare and swap: the next sequence number must still be free."""
-        record = self.spark.createDataFrame([tuple(row[f.name] for f in LOADS_SCHEMA)], LOADS_SCHEMA)
+        record = self.spark.createDataFrame([tuple(row[c] for c in LOADS_COLUMNS)], LOADS_SCHEMA)
         target = f"{self._commits(table)}/seq={seq}"
         if storage.exists(self.spark, target) and not (
             storage.exists(self.spark, f"{target}/_SUCCESS")
@@ -369,7 +370,7 @@ class Dataset:
         row = {"load_id": uuid.uuid4().hex, "pipeline": pipeline, "status": "failed",
                "error": error, "started_at": now, "finished_at": now}
         record = self.spark.createDataFrame(
-            [tuple(row.get(f.name) for f in LOADS_SCHEMA)], LOADS_SCHEMA
+            [tuple(row.get(c) for c in LOADS_COLUMNS)], LOADS_SCHEMA
         )
         record.coalesce(1).write.parquet(f"{self.path}/_failed/table_name={table}/seq=0", mode="append")
 

@@ -10,7 +10,6 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from tidewell.operators import changes
 from tidewell.sources.registry import Connections, check_keys, register
@@ -26,11 +25,6 @@ CONFIG_KEYS = frozenset(
 REQUIRED_KEYS = ("slot_name", "publication_name", "tables")
 DEFAULT_BATCH_SIZE = 1000
 
-META_SCHEMA = T._parse_datatype_string(
-    "lsn bigint, tx_id bigint, op string, commit_ts timestamp_ntz, table_name string"
-)
-
-
 @dataclass(frozen=True)
 class LogConfig:
     """The checked settings of a change-log source."""
