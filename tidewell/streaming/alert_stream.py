@@ -33,7 +33,10 @@ class Suppressor(StatefulProcessor):
     def handleInputRows(
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
     ) -> Iterator[pd.DataFrame]:
-        alerts = pd.concat(list(rows)).sort_values([_MICROS, self.tie], kind="stable")
+        alerts = pd.concat(list(rows))
+        # Names that start with an underscore do not survive the way here; the order does.
+        alerts.columns = [*self.columns, _MICROS]
+        alerts = alerts.sort_values([_MICROS, self.tie], kind="stable")
         times = alerts[_MICROS].to_numpy()
         deduped = np.ones(len(times), dtype=bool)
         stored = self.last.get() if self.last.exists() else None
