@@ -288,7 +288,7 @@ class Dataset:
         layout: dict[int, list[str]] = {} if fresh else dict(head.layout)
         if merging or rewrite:
             if metrics["n_rows"] or rewrite:
-                staged = self.spark.read.schema(schema).parquet(staged_in)
+                staged = self.spark.read.schema(schema).parquet(staged_in).drop(BUCKET)
                 small = metrics["n_rows"] <= SMALL_DELTA_ROWS and (
                     storage.size_in_bytes(self.spark, staged_in) <= SMALL_DELTA_BYTES
                 )
