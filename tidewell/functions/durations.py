@@ -67,20 +67,26 @@ def fixed_seconds(text: str) -> float:
     return duration.span.total_seconds()
 
 
-def _part(text: Column, group: int) -> Column:
-    return F.coalesce(
-        F.nullif(F.regexp_extract(text, DURATION_PATTERN, group), F.lit("")).cast("double"),
-        F.lit(0.0),
-    )
+def _parts(text: Column) -> Column:
+    """The seven numbers of a duration, found in one pass over the text."""
+    groups = ",".join(f"${i}" for i in range(1, 8))
+    return F.split(F.regexp_replace(text, DURATION_PATTERN, groups), ",")
+
+
+def _number(parts: Column, group: int) -> Column:
+    part = F.nullif(parts.getItem(group - 1), F.lit(""))
+    return F.coalesce(part.cast("double"), F.lit(0.0))
 
 
 def duration_seconds(text: Column) -> Column:
     """Seconds in the fixed part of a duration column; NULL where the text is no duration."""
-    total = sum((_part(text, i) * s for i, s in _SECONDS.items()), F.lit(0.0))
+    parts = _parts(text)
+    total = sum((_number(parts, i) * s for i, s in _SECONDS.items()), F.lit(0.0))
     return F.when(text.rlike(DURATION_PATTERN), total)
 
 
 def duration_months(text: Column) -> Column:
     """Months in the calendar part of a duration column."""
-    months = (_part(text, 1) * 12 + _part(text, 2)).cast("long")
+    parts = _parts(text)
+    months = (_number(parts, 1) * 12 + _number(parts, 2)).cast("long")
     return F.when(text.rlike(DURATION_PATTERN), months)

@@ -76,29 +76,38 @@ def latest_changes(log: DataFrame, key: str | Sequence[str]) -> DataFrame:
 def apply_changes(
     base: DataFrame, latest: DataFrame, key: str | Sequence[str], small_changes: bool = False
 ) -> DataFrame:
-    """Target rows after the changes. A change that is not newer than the stored row is
-    ignored, so replays and late duplicates change nothing. On a tie the stored row stays.
+    """Target rows after the changes; both sides hold one row per key. A change that is not
+    newer than the stored row is ignored, so replays and late duplicates change nothing.
 
     With ``small_changes`` (size checked by the caller) the changes' keys are broadcast and
-    the base is not shuffled; otherwise both sides meet in one shuffle by key.
+    the base is not shuffled. Otherwise each side is read once and they meet in one join.
     """
     columns = as_key(key)
     if not small_changes:
-        stored = base.withColumn("__stored", F.lit(1))
-        incoming = latest.withColumn("__stored", F.lit(0))
-        both = stored.unionByName(incoming, allowMissingColumns=True)
-        return dedup_latest(both, columns, [LSN, "__stored"]).drop("__stored")
+        new = {c: F.col(f"__new_{c}") for c in latest.columns}
+        renamed = latest.select(*[F.col(c).alias(f"__new_{c}") for c in latest.columns])
+        same = [F.col(k) == new[k] for k in columns]
+        newer = new[LSN].isNotNull() & (F.col(LSN).isNull() | (new[LSN] > F.col(LSN)))
+        names = list(dict.fromkeys([*base.columns, *latest.columns]))
+        absent = F.lit(None)
+        return base.join(renamed, same, "full").select(
+            *[
+                F.when(newer, new.get(c, absent))
+                .otherwise(F.col(c) if c in base.columns else absent).alias(c)
+                for c in names
+            ]
+        )
     keys = F.broadcast(latest.select(*columns, F.col(LSN).alias("__incoming")))
     kept = (
         base.join(keys, columns, "left")
-        .filter(F.col("__incoming").isNull() | (F.col("__incoming") <= F.col(LSN)))
+        .filter(F.col("__incoming").isNull() | (F.col("__incoming") > F.col(LSN)).eqNullSafe(False))
         .drop("__incoming")
     )
     stale = (
         base.select(*columns, LSN).join(keys, columns)
         .filter(F.col("__incoming") <= F.col(LSN)).select(*columns)
     )
-    fresh = latest.join(stale, columns, "left_anti")
+    fresh = latest.join(F.broadcast(stale), columns, "left_anti")
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 

@@ -32,7 +32,7 @@ from tidewell.operators.quality import load_metrics
 from tidewell.sinks import storage
 
 BUCKET = "_bucket"
-DEFAULT_BUCKETS = 16
+DEFAULT_BUCKETS = 8
 # A delta counts as small, and its keys are broadcast, only below both bounds.
 SMALL_DELTA_ROWS = 1_000_000
 SMALL_DELTA_BYTES = 64 * 1024 * 1024
@@ -45,7 +45,7 @@ LOADS_COLUMNS = {
     "min_cursor": "string", "max_cursor": "string", "state_cursor": "string",
     "chunk_start": "timestamp_ntz", "chunk_end": "timestamp_ntz",
     "new_columns": "array<string>", "schema_json": "string", "key": "array<string>",
-    "n_buckets": "int", "base_seq": "bigint", "layout": "map<int,array<string>>",
+    "n_buckets": "int", "base_seq": "bigint", "layout": "map<string,array<string>>",
     "started_at": "timestamp", "finished_at": "timestamp", "error": "string",
 }
 LOADS_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in LOADS_COLUMNS.items())
@@ -137,7 +137,7 @@ class Dataset:
         schema = T.StructType.fromJson(json.loads(row.schema_json))
         return Head(
             found, row.base_seq, schema, list(row.key or []), row.n_buckets or 0,
-            row.layout or {}, row.state_cursor,
+            {int(b): ids for b, ids in (row.layout or {}).items()}, row.state_cursor,
         )
 
     def loads(self) -> DataFrame:
@@ -350,9 +350,20 @@ class Dataset:
         names = storage.child_names(self.spark, folder)
         return sorted(int(n.split("=", 1)[1]) for n in names if n.startswith(f"{BUCKET}="))
 
+    def _record(self, row: Mapping[str, Any]) -> DataFrame:
+        """One audit row, built without a Python worker."""
+
+        def plain(value: Any) -> Any:
+            if isinstance(value, datetime):
+                return value.isoformat()
+            return {str(k): v for k, v in value.items()} if isinstance(value, dict) else value
+
+        text = json.dumps({c: plain(row.get(c)) for c in LOADS_COLUMNS})
+        parsed = F.from_json(F.lit(text), LOADS_SCHEMA, {"mode": "FAILFAST"})
+        return self.spark.range(1, numPartitions=1).select(parsed.alias("r")).select("r.*")
+
     def _commit(self, table: str, seq: int, row: Mapping[str, Any]) -> None:
         """Compare and swap: the next sequence number must still be free."""
-        record = self.spark.createDataFrame([tuple(row[c] for c in LOADS_COLUMNS)], LOADS_SCHEMA)
         target = f"{self._commits(table)}/seq={seq}"
         if storage.exists(self.spark, target) and not (
             storage.exists(self.spark, f"{target}/_SUCCESS")
@@ -360,7 +371,7 @@ class Dataset:
         ):
             storage.remove(self.spark, target)
         try:
-            record.coalesce(1).write.mode("errorifexists").parquet(target)
+            self._record(row).write.mode("errorifexists").parquet(target)
         except AnalysisException as error:
             raise ConcurrentLoad(f"load {seq} of {table!r} was committed by another writer") from error
 
@@ -369,10 +380,8 @@ class Dataset:
         now = datetime.now(timezone.utc)
         row = {"load_id": uuid.uuid4().hex, "pipeline": pipeline, "status": "failed",
                "error": error, "started_at": now, "finished_at": now}
-        record = self.spark.createDataFrame(
-            [tuple(row.get(c) for c in LOADS_COLUMNS)], LOADS_SCHEMA
-        )
-        record.coalesce(1).write.parquet(f"{self.path}/_failed/table_name={table}/seq=0", mode="append")
+        target = f"{self.path}/_failed/table_name={table}/seq=0"
+        self._record(row).write.mode("append").parquet(target)
 
     # -- removal ---------------------------------------------------------------------
 
