@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.operators.contracts import ContractViolation
 from tidewell.plans import alerting, runner
 from tidewell.sinks.dataset import ConcurrentLoad, Dataset, NullKeys
-from tidewell.sinks.jdbc import merge_statement
+from tidewell.sinks.jdbc import JdbcTarget, merge_statement
 from tidewell.sources import files, jdbc, pages, registry
 from tidewell.sources.changelog import LogConfig
 from tidewell.spec import PipelineSpec, Source
@@ -327,6 +327,43 @@ def test_merge_statement():
     assert "WHEN MATCHED" not in merge_statement("t", "s", ["id"], ["id"]).replace("NOT MATCHED", "")
 
 
+def test_jdbc_target_statements(spark, tmp_path, monkeypatch):
+    """The order of writes and statements; no database is started for it."""
+    calls = []
+    audit = Dataset(spark, str(tmp_path), "wh")
+    out = JdbcTarget(spark, {"url": "jdbc:x"}, "wh", audit)
+
+    def write(df, table, mode):
+        calls.append(("write", table.split("_stage")[0], mode, df.count()))
+        df.write.format("noop").mode("overwrite").save()
+
+    monkeypatch.setattr(out, "_write", write)
+    monkeypatch.setattr(out, "_execute", lambda *s: calls.extend(t.split(" (")[0].split("_stage")[0] for t in s))
+    first = frame(spark, (1, "a"), (1, "b"), (2, "c"))
+    audit_row = out.load("t", first, "merge", key="id", cursor="id")
+    assert (audit_row["n_rows"], audit_row["state_cursor"]) == (2, "2")
+    assert calls == [
+        ("write", '"wh"."t', "errorifexists", 2), ("write", '"wh"."t"', "append", 0),
+        'MERGE INTO "wh"."t" t USING "wh"."t', 'DROP TABLE "wh"."t',
+    ]
+    calls.clear()
+    out.load("t", first.withColumn("n", F.lit(1)), "append", cursor="id")
+    assert calls == ['ALTER TABLE "wh"."t" ADD COLUMN "n" INTEGER', ("write", '"wh"."t"', "append", 3)]
+    with pytest.raises(NullKeys):
+        out.load("t", frame(spark, (None, "a")), "merge", key="id")
+    assert calls[-1] == 'DROP TABLE "wh"."t' and not any("MERGE" in str(c) for c in calls[2:])
+    assert out.cursor("t") == "2"
+
+
+def test_empty_rewrite_keeps_rows(spark, tmp_path):
+    out = Dataset(spark, str(tmp_path), "raw")
+    out.load("t", frame(spark, (1, "a")), "append")
+    out.load("t", spark.createDataFrame([], "id string, name string"), "append")
+    assert rows(out.read("t"), "id") == [("1", "a")]
+    assert out.vacuum("t") == 1
+    assert rows(out.read("t"), "id") == [("1", "a")]
+
+
 def test_page_source(spark):
     config = {
         "base_url": "https://api.example.com", "resource_defaults": {"max_pages": 3},

@@ -68,25 +68,29 @@ def fixed_seconds(text: str) -> float:
 
 
 def _parts(text: Column) -> Column:
-    """The seven numbers of a duration, found in one pass over the text."""
+    """The seven numbers of a duration, found in one pass; NULL where the text is none."""
     groups = ",".join(f"${i}" for i in range(1, 8))
-    return F.split(F.regexp_replace(text, DURATION_PATTERN, groups), ",")
+    found = F.when(text.rlike(DURATION_PATTERN), F.regexp_replace(text, DURATION_PATTERN, groups))
+    return F.split(found, ",")
 
 
 def _number(parts: Column, group: int) -> Column:
-    part = F.nullif(parts.getItem(group - 1), F.lit(""))
+    part = F.nullif(F.get(parts, group - 1), F.lit(""))
     return F.coalesce(part.cast("double"), F.lit(0.0))
 
 
+# The numbers are added outside any condition, so that Spark evaluates their shared regex once.
+
+
 def duration_seconds(text: Column) -> Column:
     """Seconds in the fixed part of a duration column; NULL where the text is no duration."""
     parts = _parts(text)
     total = sum((_number(parts, i) * s for i, s in _SECONDS.items()), F.lit(0.0))
-    return F.when(text.rlike(DURATION_PATTERN), total)
+    return total + F.when(parts.isNotNull(), F.lit(0.0))
 
 
 def duration_months(text: Column) -> Column:
     """Months in the calendar part of a duration column."""
     parts = _parts(text)
     months = (_number(parts, 1) * 12 + _number(parts, 2)).cast("long")
-    return F.when(text.rlike(DURATION_PATTERN), months)
+    return months + F.when(parts.isNotNull(), F.lit(0))

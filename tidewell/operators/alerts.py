@@ -186,10 +186,13 @@ def alert_text(kind: Column, severity: Column, subject: Column) -> Column:
 
 def alert_rows(events: DataFrame, channels: Mapping[str, str]) -> DataFrame:
     """``events(ts, event_id, pipeline, kind, severity, channel_override)`` with the routed
-    channel and the text. Schema changes are always informational."""
+    channel, the text and the JSON payload; a payload without a channel leaves the choice to
+    whoever delivers it. Schema changes are always informational."""
     severity = F.when(F.col("kind") == "schema", F.lit("info")).otherwise(F.col("severity"))
-    return events.withColumn("severity", severity).select(
-        "ts", "event_id", "pipeline", "kind", "severity",
-        route(F.col("channel_override"), F.col("severity"), channels).alias("channel"),
-        alert_text(F.col("kind"), F.col("severity"), F.col("pipeline")).alias("text"),
+    channel = route(F.col("channel_override"), F.col("severity"), channels)
+    text = alert_text(F.col("kind"), F.col("severity"), F.col("pipeline"))
+    routed = events.withColumn("severity", severity).select(
+        "ts", "event_id", "pipeline", "kind", "severity", channel.alias("channel"),
+        text.alias("text"),
     )
+    return routed.withColumn("payload", F.to_json(F.struct("channel", "text")))

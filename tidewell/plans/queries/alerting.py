@@ -109,15 +109,18 @@ _KIND = "CASE event_type WHEN 'error' THEN 'failure' WHEN 'signup' THEN 'schema'
 
 
 @query(f"""
-    SELECT ts, event_id, pipeline, kind, severity, coalesce(nullif(override, ''),
-            CASE severity WHEN 'P1' THEN '#oncall' WHEN 'P2' THEN '#data' END) AS channel,
-        CASE kind WHEN 'failure' THEN '[' || severity || '] pipeline `' || pipeline || '` failed'
-            WHEN 'schema' THEN '[info] schema evolution in `' || pipeline || '`'
-            WHEN 'sla' THEN '[' || severity || '] SLA miss in `' || pipeline || '`'
-            ELSE '[' || severity || '] `' || pipeline || '` heartbeat stale' END AS text
-    FROM (SELECT ts, event_id, 'p' || user_id AS pipeline, {_KIND} AS kind, override,
-            CASE WHEN event_type = 'signup' THEN 'info' ELSE severity END AS severity
-          FROM ({_ROUTED}))
+    SELECT *, '{{' || coalesce('"channel":"' || channel || '",', '') || '"text":"' || text || '"}}'
+        AS payload
+    FROM (
+        SELECT ts, event_id, pipeline, kind, severity, coalesce(nullif(override, ''),
+                CASE severity WHEN 'P1' THEN '#oncall' WHEN 'P2' THEN '#data' END) AS channel,
+            CASE kind WHEN 'failure' THEN '[' || severity || '] pipeline `' || pipeline || '` failed'
+                WHEN 'schema' THEN '[info] schema evolution in `' || pipeline || '`'
+                WHEN 'sla' THEN '[' || severity || '] SLA miss in `' || pipeline || '`'
+                ELSE '[' || severity || '] `' || pipeline || '` heartbeat stale' END AS text
+        FROM (SELECT ts, event_id, 'p' || user_id AS pipeline, {_KIND} AS kind, override,
+                CASE WHEN event_type = 'signup' THEN 'info' ELSE severity END AS severity
+              FROM ({_ROUTED})))
 """, name="alert_rows")
 def alert_rows_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = (

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.session import use_utc
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -15,7 +18,13 @@ SQL: dict[str, str] = {}
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
     def add(function: Query) -> Query:
         key = name or function.__name__
-        QUERIES[key] = function
+
+        @wraps(function)
+        def in_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+            use_utc(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[key] = in_utc
         if sql is not None:
             SQL[key] = sql
         return function

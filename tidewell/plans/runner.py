@@ -21,6 +21,8 @@ from tidewell.operators.incremental import (
     limit_rows,
 )
 from tidewell.operators.quality import check_counts, reconcile_counts
+from tidewell.session import use_utc
+from tidewell.sinks import storage
 from tidewell.sinks.dataset import Dataset
 from tidewell.sinks.jdbc import JdbcTarget
 from tidewell.sources import changelog, registry
@@ -41,7 +43,10 @@ def target_of(
     if destination.type in JDBC_DESTINATIONS:
         if destination.connection not in connections:
             raise ValueError(f"pass connections entry {destination.connection!r} with its JDBC url")
-        return JdbcTarget(spark, connections[destination.connection], destination.dataset)
+        return JdbcTarget(
+            spark, connections[destination.connection], destination.dataset,
+            audit=Dataset(spark, root, destination.dataset),
+        )
     raise NotImplementedError(
         f"destination type {destination.type!r} is not in use; "
         "write to a catalog table with merge_into_catalog or writeTo"
@@ -52,7 +57,9 @@ def _order(df: DataFrame, spec: PipelineSpec) -> list[str]:
     return spec.sync.key or df.columns
 
 
-def _incremental(df: DataFrame, spec: PipelineSpec, target: Dataset, table: str) -> DataFrame:
+def _incremental(
+    df: DataFrame, spec: PipelineSpec, target: Dataset | JdbcTarget, table: str
+) -> DataFrame:
     """New rows since the stored cursor; an appending load leaves out what it already has."""
     sync = spec.sync
     last = target.cursor(table)
@@ -102,9 +109,6 @@ def _load_tables(
 
     def load(item: tuple[str, DataFrame]) -> dict[str, Any]:
         table, df = item
-        if isinstance(target, JdbcTarget):
-            df = limit_rows(df, limit, _order(df, spec)) if limit is not None else df
-            return target.load(table, df, spec.disposition, sync.key, sync.cursor_field)
         if sync.mode == "incremental":
             df = _incremental(df, spec, target, table)
         if limit is not None:
@@ -124,6 +128,7 @@ def run(
     limit: int | None = None, parallel: int = 4,
 ) -> DataFrame:
     """Load every table of the spec once; returns the audit rows of this run."""
+    use_utc(spark)
     connections = connections or {}
     target = target_of(spark, spec, root, connections)
     tables = registry.build(spark, spec.source, connections)
@@ -135,11 +140,6 @@ def run(
         done = _load_tables(spec, target, tables, limit, parallel)
     if spec.quality.row_count_check and limit is None:
         check_counts(reconcile(spark, spec, target, connections))
-    if isinstance(target, JdbcTarget):
-        return spark.createDataFrame(
-            [(r["table_name"], r["disposition"], r["n_rows"]) for r in done],
-            "table_name string, disposition string, n_rows bigint",
-        )
     ids = [row["load_id"] for row in done]
     return target.loads().filter(F.col("load_id").isin(ids))
 
@@ -169,6 +169,7 @@ def dry_run(
     limit: int | None = None,
 ) -> DataFrame:
     """Read and shape, write nothing: rows ``(table_name, n_rows, columns)``."""
+    use_utc(spark)
     tables = registry.build(spark, spec.source, connections or {})
     return describe_tables(
         {t: limit_rows(d, limit, _order(d, spec)) if limit is not None else d for t, d in tables.items()}
@@ -195,6 +196,7 @@ def run_backfill(
 
     The stored cursor is left alone, and so is any lag. Bounds must name their time zone.
     """
+    use_utc(spark)
     for bound in (start, end):
         if bound.tzinfo is None:
             raise ValueError(f"{bound}: timestamp must be timezone-aware")
@@ -212,8 +214,6 @@ def run_backfill(
     cursor = spec.sync.backfill.partition_field or spec.sync.cursor_field
     connections = connections or {}
     target = target_of(spark, spec, root, connections)
-    if not isinstance(target, Dataset):
-        raise NotImplementedError("resumable backfills need a Parquet target for their chunk log")
     tables = registry.build(spark, spec.source, connections)
     check_cursor(tables, cursor)
     all_chunks = spark.createDataFrame(
@@ -270,8 +270,6 @@ def delete_pipeline(
 
     Every step runs even if one before it failed, and reports its errors. Repeating is fine.
     """
-    from tidewell.sinks import storage
-
     target = target_of(spark, spec, root, connections or {})
     steps: list[dict[str, Any]] = []
 
@@ -286,7 +284,7 @@ def delete_pipeline(
         step("drop_stream_checkpoint", lambda: storage.remove(spark, checkpoint))
     if not keep_data:
         step("drop_destination_dataset", target.drop)
-    elif isinstance(target, Dataset):
+    else:
         step("drop_state", lambda: [target.reset_state(t) for t in target.tables()])
     failed = any(s["errors"] for s in steps)
     return {"status": "error" if failed else "ok", "name": spec.name, "steps": steps}

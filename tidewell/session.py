@@ -36,6 +36,12 @@ def local_session(cores: int | str = "*", **extra: str) -> SparkSession:
     return spark
 
 
+def use_utc(spark: SparkSession) -> None:
+    """Naive timestamps are UTC here; another session zone would shift every comparison."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

@@ -32,7 +32,13 @@ from tidewell.operators.quality import load_metrics
 from tidewell.sinks import storage
 
 BUCKET = "_bucket"
+# The disposition of a commit that only forgets the cursor; no folder belongs to it.
+RESET = "reset"
 DEFAULT_BUCKETS = 8
+# What a load reports that wrote nothing.
+NO_ROWS = {
+    "n_rows": 0, "null_keys": 0, "null_cursors": 0, "min_cursor": None, "max_cursor": None,
+}
 # A delta counts as small, and its keys are broadcast, only below both bounds.
 SMALL_DELTA_ROWS = 1_000_000
 SMALL_DELTA_BYTES = 64 * 1024 * 1024
@@ -91,7 +97,7 @@ def _readable_as(old: T.DataType, new: T.DataType) -> bool:
     )
 
 
-def _total_order(df: DataFrame, first: Sequence[str]) -> list[str]:
+def total_order(df: DataFrame, first: Sequence[str]) -> list[str]:
     """``first``, then every other sortable column, so that equal cursors resolve alike."""
     unsortable = (T.MapType, T.VariantType)
     rest = [f.name for f in df.schema if not isinstance(f.dataType, unsortable)]
@@ -174,18 +180,27 @@ class Dataset:
         df = self._read(table, head)
         return live_rows(df) if live_only else df
 
-    def _read(self, table: str, head: Head, buckets: Sequence[int] | None = None) -> DataFrame:
-        folder = f"{self.path}/{table}"
+    def _live(
+        self, table: str, head: Head, buckets: Sequence[int] | None = None
+    ) -> list[tuple[int | None, str]]:
+        """Bucket and load of every folder that readers see."""
         if head.key:
             chosen = head.layout if buckets is None else [b for b in buckets if b in head.layout]
-            paths = [f"{folder}/load={i}/{BUCKET}={b}" for b in chosen for i in head.layout[b]]
-        else:
-            commits = self.spark.read.schema(f"{LOADS_SCHEMA}, seq bigint")
-            ids = (
-                commits.option("basePath", self._commits(table)).parquet(self._commits(table))
-                .filter((F.col("seq") >= head.base_seq) & (F.col("n_rows") > 0)).select("load_id")
-            )
-            paths = [f"{folder}/load={r.load_id}" for r in ids.collect()]
+            return [(b, load_id) for b in chosen for load_id in head.layout[b]]
+        commits = self.spark.read.schema(f"{LOADS_SCHEMA}, seq bigint")
+        ids = (
+            commits.option("basePath", self._commits(table)).parquet(self._commits(table))
+            .filter((F.col("seq") >= head.base_seq) & (F.col("disposition") != RESET))
+            .select("load_id")
+        )
+        return [(None, row.load_id) for row in ids.collect()]
+
+    def _read(self, table: str, head: Head, buckets: Sequence[int] | None = None) -> DataFrame:
+        folder = f"{self.path}/{table}"
+        paths = [
+            f"{folder}/load={load_id}" + (f"/{BUCKET}={b}" if b is not None else "")
+            for b, load_id in self._live(table, head, buckets)
+        ]
         if not paths:
             return self.spark.createDataFrame([], head.schema)
         return self.spark.read.schema(head.schema).parquet(*paths)
@@ -202,11 +217,11 @@ class Dataset:
         key = as_key(key) if key else []
         if head is not None and head.key and not key:
             key = head.key
-        df, schema, added, rejected = self._agree(df, head, contract)
+        df, schema, added, rejected = self.agree(df, head, contract)
         if disposition == "merge":
             if not key:
                 raise ValueError(f"merge into {table!r} needs a primary key")
-            df = dedup_latest(df, key, _total_order(df, [cursor] if cursor else []))
+            df = dedup_latest(df, key, total_order(df, [cursor] if cursor else []))
             combine = lambda base, delta, small: merge_upsert(base, delta, key, small)
         else:
             combine = None
@@ -228,7 +243,7 @@ class Dataset:
         latest = latest_changes(log, columns)
         if delete_mode == "hard":
             latest = erase_deleted(latest, columns)
-        latest, schema, added, rejected = self._agree(latest, head, contract)
+        latest, schema, added, rejected = self.agree(latest, head, contract)
         return self._store(
             table, latest, head, "replace" if reset else "merge",
             lambda base, delta, small: apply_changes(base, delta, columns, small),
@@ -236,7 +251,7 @@ class Dataset:
             pipeline=pipeline, move_cursor=move_cursor, chunk=None,
         )
 
-    def _agree(
+    def agree(
         self, df: DataFrame, head: Head | None, contract: str
     ) -> tuple[DataFrame, T.StructType, list[str], Observation | None]:
         """The batch and the table's schema after the contract had its say."""
@@ -304,26 +319,52 @@ class Dataset:
             for b in touched:
                 layout[b] = [*layout.get(b, []), load_id]
 
-        dtype = schema[cursor].dataType if cursor in schema.fieldNames() else None
+        row = self._audit_row(
+            head, load_id, disposition, metrics, schema, key=key, cursor=cursor, added=added,
+            rejected=rejected, pipeline=pipeline, move_cursor=move_cursor, chunk=chunk,
+            started=started, layout=layout, buckets=buckets, fresh=fresh,
+        )
+        self._commit(table, row["seq"], row)
+        if staged_in != folder:
+            storage.remove(self.spark, staged_in)
+        return row
+
+    def _audit_row(
+        self, head: Head | None, load_id: str, disposition: str, metrics: Mapping[str, Any],
+        schema: T.StructType, *, key: list[str], cursor: str | None, added: list[str],
+        rejected: Observation | None, pipeline: str, move_cursor: bool,
+        chunk: tuple[datetime, datetime] | None, started: datetime,
+        layout: Mapping[int, list[str]], buckets: int, fresh: bool,
+    ) -> dict[str, Any]:
+        seq = head.seq + 1 if head else 1
         state = head.state_cursor if head else None
         if move_cursor:
+            dtype = schema[cursor].dataType if cursor in schema.fieldNames() else None
             state = _later(state, metrics["max_cursor"], dtype)
-        seq = head.seq + 1 if head else 1
-        row = {
-            "load_id": load_id, "pipeline": pipeline, "disposition": disposition, "status": "ok",
-            "n_rows": metrics["n_rows"],
-            "n_rejected": rejected.get["n_rejected"] if rejected is not None else 0,
+        return {
+            "seq": seq, "load_id": load_id, "pipeline": pipeline, "disposition": disposition,
+            "status": "ok", "n_rows": metrics["n_rows"],
+            "n_rejected": rejected.get.get("n_rejected", 0) if rejected is not None else 0,
             "null_cursors": metrics["null_cursors"], "min_cursor": metrics["min_cursor"],
             "max_cursor": metrics["max_cursor"], "state_cursor": state,
             "chunk_start": chunk[0] if chunk else None, "chunk_end": chunk[1] if chunk else None,
             "new_columns": added, "schema_json": schema.json(), "key": key, "n_buckets": buckets,
-            "base_seq": seq if fresh else head.base_seq, "layout": layout,
+            "base_seq": seq if fresh or head is None else head.base_seq, "layout": layout,
             "started_at": started, "finished_at": datetime.now(timezone.utc), "error": None,
         }
-        self._commit(table, seq, row)
-        if staged_in != folder:
-            storage.remove(self.spark, staged_in)
-        return {"table_name": table, "seq": seq, **row}
+
+    def commit_external(
+        self, table: str, disposition: str, metrics: Mapping[str, Any], schema: T.StructType,
+        **facts: Any,
+    ) -> dict[str, Any]:
+        """The audit row of a load whose rows went to another store; no folder belongs to it."""
+        head = self.head(table)
+        row = self._audit_row(
+            head, uuid.uuid4().hex, disposition, metrics, schema, key=[], layout={}, buckets=0,
+            fresh=disposition == "replace", **facts,
+        )
+        self._commit(table, row["seq"], row)
+        return row
 
     def _write(
         self, df: DataFrame, folder: str, key: list[str], buckets: int, cursor: str | None,
@@ -343,8 +384,7 @@ class Dataset:
         if key:
             writer = writer.partitionBy(BUCKET)
         writer.mode("errorifexists").parquet(folder)
-        return {"n_rows": 0, "null_keys": 0, "null_cursors": 0, "min_cursor": None,
-                "max_cursor": None, **seen.get}
+        return {**NO_ROWS, **seen.get}
 
     def _buckets_in(self, folder: str) -> list[int]:
         names = storage.child_names(self.spark, folder)
@@ -391,7 +431,7 @@ class Dataset:
         if head is None:
             return
         last = self.spark.read.schema(LOADS_SCHEMA).parquet(f"{self._commits(table)}/seq={head.seq}").first()
-        row = {**last.asDict(), "state_cursor": None, "n_rows": 0, "disposition": "reset",
+        row = {**last.asDict(), "state_cursor": None, "n_rows": 0, "disposition": RESET,
                "new_columns": [], "load_id": uuid.uuid4().hex}
         self._commit(table, head.seq + 1, row)
 
@@ -400,11 +440,12 @@ class Dataset:
         return storage.remove(self.spark, self.path)
 
     def vacuum(self, table: str) -> int:
-        """Remove load folders that the newest commit no longer refers to."""
+        """Remove load folders that the newest commit no longer refers to. Run it while no
+        load of the table is going on: rows that are not committed yet are removed as well."""
         head = self.head(table)
-        if head is None or not head.key:
+        if head is None:
             return 0
-        live = {load_id for ids in head.layout.values() for load_id in ids}
+        live = {load_id for _, load_id in self._live(table, head)}
         folders = storage.child_names(self.spark, f"{self.path}/{table}")
         old = [n for n in folders if n.startswith("load=") and n[5:] not in live]
         return sum(storage.remove(self.spark, f"{self.path}/{table}/{n}") for n in old)

@@ -12,10 +12,19 @@ from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import types as T
 
+from tidewell.operators import contracts
 from tidewell.operators.merge import as_key, dedup_latest
 from tidewell.operators.quality import load_metrics
-from tidewell.sinks.dataset import NullKeys, _total_order
+from tidewell.sinks.dataset import NO_ROWS, Dataset, NullKeys, total_order
+
+# SQL names of Spark types; every other type is stored as text.
+SQL_TYPES = {
+    "tinyint": "SMALLINT", "smallint": "SMALLINT", "int": "INTEGER", "bigint": "BIGINT",
+    "float": "REAL", "double": "DOUBLE PRECISION", "boolean": "BOOLEAN", "date": "DATE",
+    "timestamp": "TIMESTAMP WITH TIME ZONE", "timestamp_ntz": "TIMESTAMP",
+}
 
 
 def quoted(name: str) -> str:
@@ -56,23 +65,47 @@ def execute(spark: SparkSession, connection: Mapping[str, Any], *statements: str
         handle.close()
 
 
+def add_column_statement(table: str, column: T.StructField) -> str:
+    dtype = column.dataType
+    if isinstance(dtype, T.DecimalType):
+        kind = f"DECIMAL({dtype.precision},{dtype.scale})"
+    else:
+        kind = SQL_TYPES.get(dtype.simpleString(), "TEXT")
+    return f"ALTER TABLE {table} ADD COLUMN {quoted(column.name)} {kind}"
+
+
 class JdbcTarget:
-    """Tables of one schema in a SQL database."""
+    """Tables of one schema in a SQL database. Audit rows and cursors are kept in ``audit``."""
 
-    def __init__(self, spark: SparkSession, connection: Mapping[str, Any], schema: str) -> None:
+    def __init__(
+        self, spark: SparkSession, connection: Mapping[str, Any], schema: str, audit: Dataset
+    ) -> None:
         self.spark = spark
         self.connection = {str(k): str(v) for k, v in connection.items()}
         self.schema = schema
+        self.audit = audit
 
     def table(self, name: str) -> str:
         return f"{quoted(self.schema)}.{quoted(name)}"
 
+    def loads(self) -> DataFrame:
+        return self.audit.loads()
+
+    def cursor(self, name: str) -> str | None:
+        return self.audit.cursor(name)
+
+    def done_chunks(self, name: str) -> DataFrame:
+        return self.audit.done_chunks(name)
+
     def read(self, name: str) -> DataFrame:
         return (
             self.spark.read.format("jdbc").options(**self.connection)
             .option("dbtable", self.table(name)).load()
         )
 
+    def _execute(self, *statements: str) -> None:
+        execute(self.spark, self.connection, *statements)
+
     def _write(self, df: DataFrame, table: str, mode: str) -> None:
         # A replaced table is emptied, not dropped, so that grants and indexes stay.
         (
@@ -81,30 +114,54 @@ class JdbcTarget:
         )
 
     def load(
-        self, name: str, df: DataFrame, disposition: str, key: str | Sequence[str] = (),
-        cursor: str | None = None,
+        self, name: str, df: DataFrame, disposition: str, *, key: str | Sequence[str] = (),
+        cursor: str | None = None, contract: str = contracts.EVOLVE, pipeline: str = "",
+        move_cursor: bool = True, chunk: tuple[datetime, datetime] | None = None,
     ) -> dict[str, Any]:
-        """Write rows by disposition; returns their metrics."""
+        """Write rows by disposition, then commit the audit row.
+
+        Rows and audit row are two commits. A merge that is repeated after a failure between
+        them changes nothing; an append may store its rows twice.
+        """
         started = datetime.now(timezone.utc)
         key = as_key(key) if key else []
+        head = self.audit.head(name)
+        df, schema, added, rejected = self.audit.agree(df, head, contract)
+        if added:
+            fields = [schema[c] for c in added]
+            self._execute(*[add_column_statement(self.table(name), f) for f in fields])
         seen = Observation()
-        if disposition != "merge":
-            watched = df.observe(seen, *load_metrics(df, cursor, key))
-            self._write(watched, self.table(name), "overwrite" if disposition == "replace" else "append")
-        else:
-            latest = dedup_latest(df, key, _total_order(df, [cursor] if cursor else []))
-            watched = latest.observe(seen, *load_metrics(latest, cursor, key))
+        if disposition == "merge":
+            latest = dedup_latest(df, key, total_order(df, [cursor] if cursor else []))
             staging = self.table(f"{name}_stage_{uuid.uuid4().hex[:8]}")
+            watched = latest.observe(seen, *load_metrics(latest, cursor, key))
             self._write(watched, staging, "errorifexists")
+            metrics = {**NO_ROWS, **seen.get}
             try:
-                if seen.get["null_keys"]:
-                    raise NullKeys(f"{seen.get['null_keys']} rows of {name!r} have a NULL in {key}")
-                statement = merge_statement(self.table(name), staging, df.columns, key)
-                execute(self.spark, self.connection, statement)
+                if metrics["null_keys"]:
+                    raise NullKeys(f"{metrics['null_keys']} rows of {name!r} have a NULL in {key}")
+                if head is None:
+                    # Appending no rows creates the table if it is not there yet.
+                    self._write(latest.limit(0), self.table(name), "append")
+                self._execute(merge_statement(self.table(name), staging, df.columns, key))
             finally:
-                execute(self.spark, self.connection, f"DROP TABLE {staging}")
-        return {"table_name": name, "disposition": disposition, "started_at": started,
-                "finished_at": datetime.now(timezone.utc), **seen.get}
+                self._execute(f"DROP TABLE {staging}")
+        else:
+            watched = df.observe(seen, *load_metrics(df, cursor, key))
+            mode = "overwrite" if disposition == "replace" else "append"
+            self._write(watched, self.table(name), mode)
+            metrics = {**NO_ROWS, **seen.get}
+        return self.audit.commit_external(
+            name, disposition, metrics, schema, cursor=cursor, added=added, rejected=rejected,
+            pipeline=pipeline, move_cursor=move_cursor, chunk=chunk, started=started,
+        )
 
     def drop(self) -> None:
-        execute(self.spark, self.connection, f"DROP SCHEMA IF EXISTS {quoted(self.schema)} CASCADE")
+        self._execute(f"DROP SCHEMA IF EXISTS {quoted(self.schema)} CASCADE")
+        self.audit.drop()
+
+    def tables(self) -> list[str]:
+        return self.audit.tables()
+
+    def reset_state(self, name: str) -> None:
+        self.audit.reset_state(name)
