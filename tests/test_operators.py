@@ -244,7 +244,7 @@ def test_counts(spark):
     good, bad = spark.range(3), spark.range(2)
     flagged = good.withColumn("_deleted_at", F.when(F.col("id") == 0, F.lit(T0)))
     assert rows(quality.reconcile_counts({"t": bad}, {"t": flagged}), "table_name") == [("t", 2, 2, True)]
-    unequal = quality.reconcile_counts({"t": bad}, {"t": flagged}, live_only=False)
+    unequal = quality.reconcile_counts({"t": bad}, {"t": flagged}, flagged=True)
     with pytest.raises(ValueError, match="row count mismatch for t: source=2 destination=3"):
         quality.check_counts(unequal)
 

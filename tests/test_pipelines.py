@@ -241,6 +241,14 @@ def test_file_formats_agree(spark, tmp_path, fmt):
     assert rows(read.select("id", "customer_id", "amount"), "id") == data
 
 
+def test_csv_with_a_schema_binds_by_name(spark, tmp_path):
+    (tmp_path / "o.csv").write_text("amount,id,note\n1.5,1,x\noops,2,y\n")
+    config = {"bucket_url": str(tmp_path), "file_glob": "*.csv",
+              "reader_kwargs": {"schema": "id bigint, amount double, gone string"}}
+    read = registry.build(spark, Source("filesystem", "c", config), {})["c"]
+    assert rows(read, "id") == [(1, 1.5, None), (2, None, None)]
+
+
 @pytest.mark.parametrize(
     ("config", "message"),
     [
@@ -324,6 +332,8 @@ def test_merge_statement():
         ' WHEN MATCHED THEN UPDATE SET "v" = s."v"'
         ' WHEN NOT MATCHED THEN INSERT ("id", "v") VALUES (s."id", s."v")'
     )
+    guarded = merge_statement("t", "s", ["id", "_lsn"], ["id"], newer="_lsn")
+    assert 'WHEN MATCHED AND (t."_lsn" IS NULL OR s."_lsn" > t."_lsn") THEN UPDATE' in guarded
     assert "WHEN MATCHED" not in merge_statement("t", "s", ["id"], ["id"]).replace("NOT MATCHED", "")
 
 
@@ -347,6 +357,9 @@ def test_jdbc_target_statements(spark, tmp_path, monkeypatch):
         'MERGE INTO "wh"."t" t USING "wh"."t', 'DROP TABLE "wh"."t',
     ]
     calls.clear()
+    first_lsn = out.apply("c", spark.createDataFrame([(5, "D", T0, 1)], "lsn bigint, op string, commit_ts timestamp_ntz, id bigint"), "id")
+    assert first_lsn["state_cursor"] == "5" and calls[2].startswith('MERGE INTO "wh"."c" t')
+    calls.clear()
     out.load("t", first.withColumn("n", F.lit(1)), "append", cursor="id")
     assert calls == ['ALTER TABLE "wh"."t" ADD COLUMN "n" INTEGER', ("write", '"wh"."t"', "append", 3)]
     with pytest.raises(NullKeys):
@@ -392,7 +405,7 @@ def test_registry(spark):
 LOG = "lsn bigint, tx_id bigint, op string, commit_ts timestamp_ntz, table_name string, id bigint, amount double"
 
 
-def cdc_spec(**config):
+def cdc_spec(check_mode="cross_cluster", **config):
     return PipelineSpec.from_dict(
         {
             "name": "orders_cdc",
@@ -400,7 +413,7 @@ def cdc_spec(**config):
                        "config": {"slot_name": "s", "publication_name": "p", "tables": ["orders"], **config}},
             "sync": {"mode": "cdc", "primary_key": "id"},
             "destination": {"type": "duckdb", "connection": "local", "dataset": "raw_orders_cdc"},
-            "quality": {"row_count_check": True},
+            "quality": {"row_count_check": True, "check_mode": check_mode},
         }
     )
 
@@ -459,6 +472,9 @@ def test_cdc_columns_and_kinds(spark, tmp_path, change_source):
     spec = cdc_spec(publish="insert, update", columns={"orders": {"amount": {"data_type": "decimal(12,2)"}}})
     with pytest.raises(ValueError, match="row count mismatch for orders: source=1 destination=2"):
         runner.run(spark, spec, str(tmp_path / "out"), place)
+    with pytest.raises(ValueError, match="row count mismatch for orders$"):
+        same = cdc_spec("same_cluster", publish="insert, update")
+        runner.run(spark, same, str(tmp_path / "same"), place)
     landed = Dataset(spark, str(tmp_path / "out"), "raw_orders_cdc").read("orders")
     assert dict(landed.dtypes)["amount"] == "decimal(12,2)"
     assert landed.count() == 2

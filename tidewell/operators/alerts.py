@@ -54,13 +54,14 @@ def _entries(times: np.ndarray, window: int) -> list[tuple[int, int]]:
     """How a walk passes this stretch: ``(enters_to, leaves_on)`` says that a walk entering
     at or before that time, but after the row above, last sends at ``leaves_on``. The walk
     enters at most one window after the first alert, and entries that leave alike share a row."""
+    here = np.arange(len(times))
     following = np.searchsorted(times, times + window)
-    leaves = times.copy()
-    for i in range(len(times) - 1, -1, -1):
-        if following[i] < len(times):
-            leaves[i] = leaves[following[i]]
+    following = np.where(following < len(times), following, here)
+    # Doubling the jump until it settles leads every alert to the last one of its walk.
+    while not np.array_equal(jumped := following[following], following):
+        following = jumped
     reach = min(int(np.searchsorted(times, times[0] + window)) + 1, len(times))
-    leaves = leaves[:reach]
+    leaves = times[following[:reach]]
     ends = np.append(np.flatnonzero(leaves[1:] != leaves[:-1]), reach - 1)
     return [(int(times[i]), int(leaves[i])) for i in ends]
 

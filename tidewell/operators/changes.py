@@ -126,6 +126,14 @@ def erase_deleted(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
     )
 
 
+def target_rows(log: DataFrame, key: str | Sequence[str], delete_mode: str = "soft") -> DataFrame:
+    """What a batch of changes asks of the target: flagged deletes, or erased ones."""
+    if delete_mode not in ("soft", "hard"):
+        raise ValueError(f"delete_mode must be 'soft' or 'hard', got {delete_mode!r}")
+    latest = latest_changes(log, key)
+    return erase_deleted(latest, key) if delete_mode == "hard" else latest
+
+
 def tx_batches(
     log: DataFrame, target_batch_size: int = 1000, slice_width: int = 1 << 24
 ) -> DataFrame:

@@ -20,12 +20,17 @@ def _counts(frames: Mapping[str, DataFrame], name: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def live_only(df: DataFrame) -> DataFrame:
+    """A target without the rows that change data flagged as deleted."""
+    return live_rows(df) if DELETED_AT in df.columns else df
+
+
 def reconcile_counts(
-    source: Mapping[str, DataFrame], target: Mapping[str, DataFrame], live_only: bool = True
+    source: Mapping[str, DataFrame], target: Mapping[str, DataFrame], flagged: bool = False
 ) -> DataFrame:
-    """One row per table with both counts; flagged rows of change-data targets do not count."""
-    if live_only:
-        target = {t: live_rows(d) if DELETED_AT in d.columns else d for t, d in target.items()}
+    """One row per table with both counts; flagged rows count only if asked for."""
+    if not flagged:
+        target = {table: live_only(df) for table, df in target.items()}
     both = _counts(source, "source_rows").join(_counts(target, "target_rows"), "table_name", "full")
     return both.select(
         "table_name", "source_rows", "target_rows",
@@ -34,13 +39,15 @@ def reconcile_counts(
 
 
 def check_counts(reconciled: DataFrame) -> None:
+    """Raise with the first mismatches; a verdict without counts names the table only."""
     bad = reconciled.filter(~F.col("ok")).orderBy("table_name").take(20)
     if bad:
+        facts = [row.asDict() for row in bad]
         raise ValueError(
             "; ".join(
-                f"row count mismatch for {r.table_name}: "
-                f"source={r.source_rows} destination={r.target_rows}"
-                for r in bad
+                f"row count mismatch for {f['table_name']}"
+                + (f": source={f['source_rows']} destination={f['target_rows']}" if len(f) > 2 else "")
+                for f in facts
             )
         )
 

@@ -20,7 +20,12 @@ from tidewell.operators.incremental import (
     lag_seconds,
     limit_rows,
 )
-from tidewell.operators.quality import check_counts, reconcile_counts
+from tidewell.operators.quality import (
+    check_counts,
+    live_only,
+    reconcile_counts,
+    reconcile_same_engine,
+)
 from tidewell.session import use_utc
 from tidewell.sinks import storage
 from tidewell.sinks.dataset import Dataset
@@ -73,8 +78,8 @@ def _incremental(
 
 
 def _load_changes(
-    spark: SparkSession, spec: PipelineSpec, target: Dataset, connections: Connections,
-    tables: Mapping[str, DataFrame],
+    spark: SparkSession, spec: PipelineSpec, target: Dataset | JdbcTarget,
+    connections: Connections, tables: Mapping[str, DataFrame],
 ) -> list[dict[str, Any]]:
     """Snapshot on the first run or after a reset, then the changes behind the last position."""
     config = changelog.LogConfig.of(spec.source, connections)
@@ -85,7 +90,7 @@ def _load_changes(
         log = changelog.shape(log, table, spec.sync.key, config)
         if last is not None:
             log = log.filter(F.col("lsn") > F.lit(int(last)))
-        elif table in copies and (config.reset or target.head(table) is None):
+        elif table in copies and (config.reset or target.cursor(table) is None):
             log = changes.snapshot_plus_stream(
                 changelog.shape(copies[table], table, spec.sync.key, config), log
             )
@@ -133,8 +138,6 @@ def run(
     target = target_of(spark, spec, root, connections)
     tables = registry.build(spark, spec.source, connections)
     if spec.sync.mode == "cdc":
-        if isinstance(target, JdbcTarget):
-            raise NotImplementedError("change data is applied to Parquet or catalog targets")
         done = _load_changes(spark, spec, target, connections, tables)
     else:
         done = _load_tables(spec, target, tables, limit, parallel)
@@ -147,7 +150,8 @@ def run(
 def reconcile(
     spark: SparkSession, spec: PipelineSpec, target: Dataset | JdbcTarget, connections: Connections
 ) -> DataFrame:
-    """Row counts of source and target, per table of the spec."""
+    """Source against target per table: two counts, or one verdict of an engine that reaches
+    both sides where the spec says ``same_cluster``."""
     source = registry.build(spark, spec.source, connections)
     if spec.sync.mode == "cdc":
         config = changelog.LogConfig.of(spec.source, connections)
@@ -161,7 +165,16 @@ def reconcile(
             )
             for table, log in source.items()
         }
-    return reconcile_counts(source, {table: target.read(table) for table in source})
+    landed = {table: target.read(table) for table in source}
+    if spec.quality.check_mode == "cross_cluster":
+        return reconcile_counts(source, landed)
+    verdicts = [
+        reconcile_same_engine(spark, source[table], live_only(landed[table])).select(
+            F.lit(table).alias("table_name"), "ok"
+        )
+        for table in source
+    ]
+    return reduce(DataFrame.unionByName, verdicts)
 
 
 def dry_run(

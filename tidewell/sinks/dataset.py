@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.operators import contracts
-from tidewell.operators.changes import apply_changes, erase_deleted, latest_changes, live_rows
+from tidewell.operators.changes import LSN, apply_changes, live_rows, target_rows
 from tidewell.operators.merge import as_key, dedup_latest, merge_upsert
 from tidewell.operators.quality import load_metrics
 from tidewell.sinks import storage
@@ -236,18 +236,14 @@ class Dataset:
         move_cursor: bool = True,
     ) -> dict[str, Any]:
         """Bring a table up to date with changes; ``reset`` starts it anew from them."""
-        if delete_mode not in ("soft", "hard"):
-            raise ValueError(f"delete_mode must be 'soft' or 'hard', got {delete_mode!r}")
         head = self.head(table)
         columns = as_key(key)
-        latest = latest_changes(log, columns)
-        if delete_mode == "hard":
-            latest = erase_deleted(latest, columns)
+        latest = target_rows(log, columns, delete_mode)
         latest, schema, added, rejected = self.agree(latest, head, contract)
         return self._store(
             table, latest, head, "replace" if reset else "merge",
             lambda base, delta, small: apply_changes(base, delta, columns, small),
-            schema=schema, key=columns, cursor="_lsn", added=added, rejected=rejected,
+            schema=schema, key=columns, cursor=LSN, added=added, rejected=rejected,
             pipeline=pipeline, move_cursor=move_cursor, chunk=None,
         )
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import types as T
 
 from tidewell.operators import contracts
+from tidewell.operators.changes import LSN, target_rows
 from tidewell.operators.merge import as_key, dedup_latest
 from tidewell.operators.quality import load_metrics
 from tidewell.sinks.dataset import NO_ROWS, Dataset, NullKeys, total_order
@@ -32,15 +33,18 @@ def quoted(name: str) -> str:
 
 
 def merge_statement(
-    target: str, staging: str, columns: Sequence[str], key: Sequence[str]
-) -> str:
-    """Standard MERGE: update the rows that match by key and insert the others."""
+    target: str, staging: str, columns: Sequence[str], key: Sequence[str],
+    newer: str | None = None,
+) -> str:
+    """Standard MERGE: update the rows that match by key and insert the others. With
+    ``newer``, only rows whose value in that column is above the stored one are updated."""
     on = " AND ".join(f"t.{quoted(k)} = s.{quoted(k)}" for k in key)
     rest = [c for c in columns if c not in key]
     updates = ", ".join(f"{quoted(c)} = s.{quoted(c)}" for c in rest)
     names = ", ".join(quoted(c) for c in columns)
     values = ", ".join(f"s.{quoted(c)}" for c in columns)
-    matched = f" WHEN MATCHED THEN UPDATE SET {updates}" if updates else ""
+    guard = f" AND (t.{quoted(newer)} IS NULL OR s.{quoted(newer)} > t.{quoted(newer)})" if newer else ""
+    matched = f" WHEN MATCHED{guard} THEN UPDATE SET {updates}" if updates else ""
     return (
         f"MERGE INTO {target} t USING {staging} s ON ({on}){matched}"
         f" WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({values})"
@@ -127,35 +131,73 @@ class JdbcTarget:
         key = as_key(key) if key else []
         head = self.audit.head(name)
         df, schema, added, rejected = self.audit.agree(df, head, contract)
-        if added:
-            fields = [schema[c] for c in added]
-            self._execute(*[add_column_statement(self.table(name), f) for f in fields])
-        seen = Observation()
+        self._add_columns(name, schema, added)
         if disposition == "merge":
             latest = dedup_latest(df, key, total_order(df, [cursor] if cursor else []))
-            staging = self.table(f"{name}_stage_{uuid.uuid4().hex[:8]}")
-            watched = latest.observe(seen, *load_metrics(latest, cursor, key))
-            self._write(watched, staging, "errorifexists")
-            metrics = {**NO_ROWS, **seen.get}
-            try:
-                if metrics["null_keys"]:
-                    raise NullKeys(f"{metrics['null_keys']} rows of {name!r} have a NULL in {key}")
-                if head is None:
-                    # Appending no rows creates the table if it is not there yet.
-                    self._write(latest.limit(0), self.table(name), "append")
-                self._execute(merge_statement(self.table(name), staging, df.columns, key))
-            finally:
-                self._execute(f"DROP TABLE {staging}")
+            metrics = self._merge(name, latest, key, cursor, create=head is None)
         else:
-            watched = df.observe(seen, *load_metrics(df, cursor, key))
-            mode = "overwrite" if disposition == "replace" else "append"
-            self._write(watched, self.table(name), mode)
-            metrics = {**NO_ROWS, **seen.get}
+            metrics = self._put(name, df, disposition, key, cursor)
         return self.audit.commit_external(
             name, disposition, metrics, schema, cursor=cursor, added=added, rejected=rejected,
             pipeline=pipeline, move_cursor=move_cursor, chunk=chunk, started=started,
         )
 
+    def apply(
+        self, name: str, log: DataFrame, key: str | Sequence[str], *, delete_mode: str = "soft",
+        contract: str = contracts.EVOLVE, pipeline: str = "", reset: bool = False,
+        move_cursor: bool = True,
+    ) -> dict[str, Any]:
+        """Bring a table up to date with changes; the database compares log positions, so a
+        change that is not newer than the stored row is ignored."""
+        started = datetime.now(timezone.utc)
+        columns = as_key(key)
+        head = self.audit.head(name)
+        latest = target_rows(log, columns, delete_mode)
+        latest, schema, added, rejected = self.audit.agree(latest, head, contract)
+        if reset:
+            metrics = self._put(name, latest, "replace", columns, LSN)
+        else:
+            self._add_columns(name, schema, added)
+            metrics = self._merge(name, latest, columns, LSN, create=head is None, newer=LSN)
+        return self.audit.commit_external(
+            name, "replace" if reset else "merge", metrics, schema, cursor=LSN, added=added,
+            rejected=rejected, pipeline=pipeline, move_cursor=move_cursor, chunk=None,
+            started=started,
+        )
+
+    def _add_columns(self, name: str, schema: T.StructType, added: Sequence[str]) -> None:
+        if added:
+            self._execute(*[add_column_statement(self.table(name), schema[c]) for c in added])
+
+    def _put(
+        self, name: str, df: DataFrame, disposition: str, key: Sequence[str], cursor: str | None
+    ) -> dict[str, Any]:
+        seen = Observation()
+        watched = df.observe(seen, *load_metrics(df, cursor, list(key)))
+        self._write(watched, self.table(name), "overwrite" if disposition == "replace" else "append")
+        return {**NO_ROWS, **seen.get}
+
+    def _merge(
+        self, name: str, latest: DataFrame, key: list[str], cursor: str | None, *,
+        create: bool, newer: str | None = None,
+    ) -> dict[str, Any]:
+        """Stage the rows, then let the database merge them in one statement."""
+        staging = self.table(f"{name}_stage_{uuid.uuid4().hex[:8]}")
+        seen = Observation()
+        watched = latest.observe(seen, *load_metrics(latest, cursor, key))
+        self._write(watched, staging, "errorifexists")
+        metrics = {**NO_ROWS, **seen.get}
+        try:
+            if metrics["null_keys"]:
+                raise NullKeys(f"{metrics['null_keys']} rows of {name!r} have a NULL in {key}")
+            if create:
+                # Appending no rows creates the table if it is not there yet.
+                self._write(latest.limit(0), self.table(name), "append")
+            self._execute(merge_statement(self.table(name), staging, latest.columns, key, newer))
+        finally:
+            self._execute(f"DROP TABLE {staging}")
+        return metrics
+
     def drop(self) -> None:
         self._execute(f"DROP SCHEMA IF EXISTS {quoted(self.schema)} CASCADE")
         self.audit.drop()
