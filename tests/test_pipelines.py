@@ -400,6 +400,50 @@ def test_registry(spark):
     assert "files" in registry.describe("filesystem")
 
 
+NESTED = "id bigint, updated_at timestamp_ntz, who struct<name: string>, tags array<string>, lines array<struct<sku: string, lots: array<int>>>"
+
+
+def test_nested_rows_become_tables(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    spec = orders_spec(source)
+
+    def put(*entries):
+        spark.createDataFrame(list(entries), NESTED).coalesce(1).write.mode("append").parquet(str(source))
+
+    put((1, T0, ("a",), ["x", "y"], [("s1", [7, 8]), ("s2", [])]), (2, T0, ("b",), None, []))
+    shaped = runner.dry_run(spark, spec)
+    assert [r.table_name for r in shaped.orderBy("table_name").collect()] == [
+        "orders", "orders__lines", "orders__lines__lots", "orders__tags"
+    ]
+    runner.run(spark, spec, out)
+    landed = target(spark, tmp_path)
+    assert landed.read("orders").columns == ["id", "updated_at", "who__name"]
+    assert rows(landed.read("orders__tags"), "_pos") == [(1, 0, "x"), (1, 1, "y")]
+    assert rows(landed.read("orders__lines"), "_pos") == [(1, 0, "s1"), (1, 1, "s2")]
+    assert rows(landed.read("orders__lines__lots"), "_pos2") == [(1, 0, 0, 7), (1, 0, 1, 8)]
+    # Row 1 loses a tag and all lines; row 2 gains a tag; an older version must not count.
+    put((1, T0 + minutes(2), ("a",), ["z"], None), (1, T0 + minutes(1), ("a",), ["old", "old"], None),
+        (2, T0 + minutes(1), ("b",), ["n"], [("s3", [1])]))
+    for _ in range(2):
+        runner.run(spark, spec, out)
+        assert rows(landed.read("orders__tags"), "id") == [(1, 0, "z"), (2, 0, "n")]
+        assert rows(landed.read("orders__lines"), "id") == [(2, 0, "s3")]
+        assert rows(landed.read("orders__lines__lots"), "id") == [(2, 0, 0, 1)]
+        assert landed.read("orders").count() == 2
+
+
+def test_nested_rows_without_a_key(spark, tmp_path):
+    source = tmp_path / "in"
+    spec = orders_spec(source, sync={"mode": "full_refresh", "cursor_field": None, "primary_key": None},
+                       options={"write_disposition": None})
+    data = [(1, T0, ("a",), ["x", "y"], None)]
+    spark.createDataFrame(data, NESTED).write.parquet(str(source))
+    runner.run(spark, spec, str(tmp_path / "out"))
+    landed = target(spark, tmp_path)
+    joined = landed.read("orders").join(landed.read("orders__tags"), "_row_id")
+    assert rows(joined.select("id", "_pos", "value"), "_pos") == [(1, 0, "x"), (1, 1, "y")]
+
+
 # -- change data ---------------------------------------------------------------------
 
 LOG = "lsn bigint, tx_id bigint, op string, commit_ts timestamp_ntz, table_name string, id bigint, amount double"

@@ -44,6 +44,17 @@ def merge_upsert(
     return kept.unionByName(delta, allowMissingColumns=True)
 
 
+def replace_children(
+    base: DataFrame, delta: DataFrame, parent_key: Sequence[str], pos: str,
+    small_delta: bool = False,
+) -> DataFrame:
+    """``base`` with all children of the delta's parents replaced by the delta's. A parent
+    whose row has no position has no children any more."""
+    parents = delta.select(*parent_key).distinct()
+    kept = base.join(F.broadcast(parents) if small_delta else parents, list(parent_key), "left_anti")
+    return kept.unionByName(delta.filter(F.col(pos).isNotNull()), allowMissingColumns=True)
+
+
 def null_key(key: str | Sequence[str]) -> Column:
     """True where any part of the key is NULL; such rows can never be matched again."""
     parts = [F.col(c).isNull() for c in as_key(key)]

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEPARATOR = "__"
+ROW_ID = "_row_id"
 
 
 def _leaves(schema: T.StructType, path: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
@@ -30,14 +32,63 @@ def flatten_struct(df: DataFrame) -> DataFrame:
     )
 
 
-def child_table(df: DataFrame, parent_key: Sequence[str], array: str) -> DataFrame:
-    """Array elements as rows with the parent's key and their position."""
-    exploded = df.select(*parent_key, F.posexplode(array).alias("_pos", "value"))
+def child_table(
+    df: DataFrame, parent_key: Sequence[str], array: str, pos: str = "_pos",
+    keep_empty: bool = False,
+) -> DataFrame:
+    """Array elements as rows with the parent's key and their position. With ``keep_empty``
+    a parent without elements gives one row without a position."""
+    explode = F.posexplode_outer if keep_empty else F.posexplode
+    exploded = df.select(*parent_key, explode(array).alias(pos, "value"))
     if isinstance(df.schema[array].dataType.elementType, T.StructType):
-        return flatten_struct(exploded.select(*parent_key, "_pos", "value.*"))
+        return flatten_struct(exploded.select(*parent_key, pos, "value.*"))
     return exploded
 
 
+def arrays_of(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if isinstance(f.dataType, T.ArrayType)]
+
+
+def with_row_id(df: DataFrame) -> DataFrame:
+    """A key for rows that have none: a digest of the row, the same in every retry."""
+    return df.withColumn(ROW_ID, F.sha2(F.to_json(F.struct(*df.columns)), 256))
+
+
+@dataclass(frozen=True)
+class Child:
+    """A table of array elements: its rows, the root's key and its own position columns."""
+
+    rows: DataFrame
+    parent_key: list[str]
+    positions: list[str]
+
+
+def split_nested(
+    table: str, df: DataFrame, key: Sequence[str], keep_empty: bool = False
+) -> tuple[DataFrame, dict[str, Child]]:
+    """A nested table as a flat one and one child table per array, ``table__array``; arrays in
+    arrays give children of children, linked by the key and the positions on the way."""
+    flat = flatten_struct(df)
+    arrays = arrays_of(flat)
+    if not arrays:
+        return flat, {}
+    keyed = flat if key else with_row_id(flat)
+    root = list(key) or [ROW_ID]
+    children: dict[str, Child] = {}
+
+    def descend(name: str, parent: DataFrame, positions: list[str]) -> None:
+        for array in arrays_of(parent):
+            pos = "_pos" if not positions else f"_pos{len(positions) + 1}"
+            rows = child_table(parent, [*root, *positions], array, pos, keep_empty)
+            here = [*positions, pos]
+            child = f"{name}{SEPARATOR}{array}"
+            children[child] = Child(rows.drop(*arrays_of(rows)), root, here)
+            descend(child, rows, here)
+
+    descend(table, keyed, [])
+    return keyed.drop(*arrays), children
+
+
 def json_schema(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """The schema that JSON texts of a column share, folded in one aggregate."""
     parsed = F.try_parse_json(F.col(column))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import normalize
 from tidewell.plans.queries.book import query, table
+from tidewell.session import new_scratch
+from tidewell.sinks.dataset import Dataset
 
 PAGE_SIZE = 20
 RECORD = "results ARRAY<STRUCT<o_orderkey: BIGINT, o_custkey: BIGINT, o_totalprice: DOUBLE, o_orderpriority: STRING>>"
@@ -76,3 +78,27 @@ def flatten_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def json_schema_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.json_schema(table(spark, sf_dir, "events"), "props", ["event_type"])
+
+
+@query(f"""
+    SELECT o_orderstatus AS endpoint, o_orderkey // {PAGE_SIZE} AS page_no,
+        CAST(row_number() OVER (PARTITION BY o_orderstatus, o_orderkey // {PAGE_SIZE}
+            ORDER BY o_orderkey) - 1 AS INTEGER) AS _pos, {_FIELDS}
+    FROM orders
+    WHERE o_orderkey // {PAGE_SIZE} <= (SELECT max(o_orderkey) // {PAGE_SIZE} // 2 FROM orders)
+        OR o_orderpriority = '1-URGENT'
+""")
+def child_table_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a nested table, loaded and then merged: the later half comes again with urgent
+    orders only, so its other orders, and whole pages without any, lose their child rows."""
+    pages = order_pages(spark, sf_dir)
+    parsed = pages.select("endpoint", "page_no", F.from_json("payload", RECORD).results.alias("results"))
+    half = F.lit(pages.agg(F.max("page_no")).first()[0] // 2)
+    urgent = F.filter("results", lambda r: r["o_orderpriority"] == "1-URGENT")
+    again = parsed.filter(F.col("page_no") > half).withColumn("results", urgent)
+    target = Dataset(spark, new_scratch(spark, "children"), "raw")
+    for part in (parsed, again):
+        key = ["endpoint", "page_no"]
+        _, children = normalize.split_nested("pages", part, key, keep_empty=True)
+        target.load_children("pages__results", children["pages__results"])
+    return target.read("pages__results")

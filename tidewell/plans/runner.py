@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import backfill, changes
+from tidewell.operators import backfill, changes, normalize
 from tidewell.operators.incremental import (
     bounded_range,
     check_cursor,
@@ -20,6 +20,7 @@ from tidewell.operators.incremental import (
     lag_seconds,
     limit_rows,
 )
+from tidewell.operators.merge import dedup_latest
 from tidewell.operators.quality import (
     check_counts,
     live_only,
@@ -28,7 +29,7 @@ from tidewell.operators.quality import (
 )
 from tidewell.session import use_utc
 from tidewell.sinks import storage
-from tidewell.sinks.dataset import Dataset
+from tidewell.sinks.dataset import Dataset, total_order
 from tidewell.sinks.jdbc import JdbcTarget
 from tidewell.sources import changelog, registry
 from tidewell.sources.registry import Connections
@@ -73,7 +74,8 @@ def _incremental(
     if last is None or spec.disposition != "append":
         return fresh
     again = incremental_filter(target.read(table), sync.cursor_field, last, lag)
-    columns = [*sync.key, sync.cursor_field] if sync.key else df.columns
+    flat = [c for c in df.columns if c not in normalize.arrays_of(df) and c in again.columns]
+    columns = [*sync.key, sync.cursor_field] if sync.key else flat
     return drop_loaded(fresh, again, list(dict.fromkeys(columns)))
 
 
@@ -109,23 +111,45 @@ def _load_tables(
     limit: int | None, parallel: int,
 ) -> list[dict[str, Any]]:
     sync = spec.sync
+    tables = {table: normalize.flatten_struct(df) for table, df in tables.items()}
     if sync.cursor_field is not None:
         check_cursor(tables, sync.cursor_field)
 
-    def load(item: tuple[str, DataFrame]) -> dict[str, Any]:
+    def load(item: tuple[str, DataFrame]) -> list[dict[str, Any]]:
         table, df = item
         if sync.mode == "incremental":
             df = _incremental(df, spec, target, table)
         if limit is not None:
             df = limit_rows(df, limit, _order(df, spec))
-        return target.load(
-            table, df, spec.disposition, key=sync.key, cursor=sync.cursor_field,
-            contract=spec.options.schema_contract, pipeline=spec.name,
-        )
+        return _store(target, table, df, spec, sync.cursor_field)
 
     # Tables have their own commits, so their jobs may share the cluster.
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        return list(pool.map(load, tables.items()))
+        return [row for rows in pool.map(load, tables.items()) for row in rows]
+
+
+def _store(
+    target: Dataset | JdbcTarget, table: str, df: DataFrame, spec: PipelineSpec,
+    cursor: str | None, **facts: Any,
+) -> list[dict[str, Any]]:
+    """Write a table, and its arrays as child tables of their own."""
+    key, merging = spec.sync.key, spec.disposition == "merge"
+    common = {"contract": spec.options.schema_contract, "pipeline": spec.name}
+    if merging and normalize.arrays_of(df):
+        # Children must come from the row that wins, so it is chosen before they are split off.
+        df = dedup_latest(df, key, total_order(df, [cursor] if cursor else []))
+    flat, children = normalize.split_nested(table, df, key, keep_empty=merging)
+    # Children go first: the parent's commit moves the cursor, so a run that dies between
+    # them reads the parents again.
+    done = []
+    for name, child in children.items():
+        if merging:
+            chunk = facts.get("chunk")
+            done.append(target.load_children(name, child, chunk=chunk, **common))
+        else:
+            done.append(target.load(name, child.rows, spec.disposition, **common))
+    done.append(target.load(table, flat, spec.disposition, key=key, cursor=cursor, **common, **facts))
+    return done
 
 
 def run(
@@ -183,10 +207,14 @@ def dry_run(
 ) -> DataFrame:
     """Read and shape, write nothing: rows ``(table_name, n_rows, columns)``."""
     use_utc(spark)
-    tables = registry.build(spark, spec.source, connections or {})
-    return describe_tables(
-        {t: limit_rows(d, limit, _order(d, spec)) if limit is not None else d for t, d in tables.items()}
-    )
+    shaped: dict[str, DataFrame] = {}
+    for table, df in registry.build(spark, spec.source, connections or {}).items():
+        if limit is not None:
+            df = limit_rows(df, limit, _order(df, spec))
+        flat, children = normalize.split_nested(table, df, spec.sync.key)
+        shaped[table] = flat
+        shaped.update({name: child.rows for name, child in children.items()})
+    return describe_tables(shaped)
 
 
 def describe_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -227,7 +255,8 @@ def run_backfill(
     cursor = spec.sync.backfill.partition_field or spec.sync.cursor_field
     connections = connections or {}
     target = target_of(spark, spec, root, connections)
-    tables = registry.build(spark, spec.source, connections)
+    built = registry.build(spark, spec.source, connections)
+    tables = {table: normalize.flatten_struct(df) for table, df in built.items()}
     check_cursor(tables, cursor)
     all_chunks = spark.createDataFrame(
         [(i, *c) for i, c in enumerate(chunks)], backfill.CHUNK_SCHEMA
@@ -237,12 +266,11 @@ def run_backfill(
         todo = backfill.pending_chunks(all_chunks, target.done_chunks(table))
         for chunk in todo.orderBy("chunk_id").collect():
             part = bounded_range(df, cursor, chunk.chunk_start, chunk.chunk_end)
-            done = target.load(
-                table, part, spec.disposition, key=spec.sync.key, cursor=cursor,
-                contract=spec.options.schema_contract, pipeline=spec.name, move_cursor=False,
+            done = _store(
+                target, table, part, spec, cursor, move_cursor=False,
                 chunk=(chunk.chunk_start, chunk.chunk_end),
             )
-            ids.append(done["load_id"])
+            ids += [row["load_id"] for row in done]
     return target.loads().filter(F.col("load_id").isin(ids))
 
 

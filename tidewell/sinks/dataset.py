@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 
 from tidewell.operators import contracts
 from tidewell.operators.changes import LSN, apply_changes, live_rows, target_rows
-from tidewell.operators.merge import as_key, dedup_latest, merge_upsert
+from tidewell.operators.merge import as_key, dedup_latest, merge_upsert, replace_children
+from tidewell.operators.normalize import Child
 from tidewell.operators.quality import load_metrics
 from tidewell.sinks import storage
 
@@ -230,6 +231,23 @@ class Dataset:
             added=added, rejected=rejected, pipeline=pipeline, move_cursor=move_cursor, chunk=chunk,
         )
 
+    def load_children(
+        self, table: str, child: Child, *, contract: str = contracts.EVOLVE, pipeline: str = "",
+        chunk: tuple[datetime, datetime] | None = None,
+    ) -> dict[str, Any]:
+        """Merge a table of array elements: parents in the batch get exactly its elements."""
+        head = self.head(table)
+        df, schema, added, rejected = self.agree(child.rows, head, contract)
+        pos = child.positions[-1]
+        if head is None:
+            df = df.filter(F.col(pos).isNotNull())
+        return self._store(
+            table, df, head, "merge",
+            lambda base, delta, small: replace_children(base, delta, child.parent_key, pos, small),
+            schema=schema, key=child.parent_key, cursor=None, added=added, rejected=rejected,
+            pipeline=pipeline, move_cursor=False, chunk=chunk,
+        )
+
     def apply(
         self, table: str, log: DataFrame, key: str | Sequence[str], *, delete_mode: str = "soft",
         contract: str = contracts.EVOLVE, pipeline: str = "", reset: bool = False,
@@ -310,7 +328,10 @@ class Dataset:
             if rewrite:
                 layout, fresh = {}, True
                 touched = self._buckets_in(folder) if key else []
-            layout.update({b: [load_id] for b in touched})
+            # A bucket whose last rows went has no folder any more.
+            written = set(self._buckets_in(folder)) if key else set()
+            layout = {b: ids for b, ids in layout.items() if b not in touched}
+            layout.update({b: [load_id] for b in touched if b in written})
         else:
             for b in touched:
                 layout[b] = [*layout.get(b, []), load_id]

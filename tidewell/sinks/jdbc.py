@@ -7,7 +7,7 @@ database runs, so it is atomic there and keys never pass through the driver.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timezone
 from typing import Any
 
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tidewell.operators import contracts
 from tidewell.operators.changes import LSN, target_rows
 from tidewell.operators.merge import as_key, dedup_latest
+from tidewell.operators.normalize import Child
 from tidewell.operators.quality import load_metrics
 from tidewell.sinks.dataset import NO_ROWS, Dataset, NullKeys, total_order
 
@@ -165,6 +166,26 @@ class JdbcTarget:
             started=started,
         )
 
+    def load_children(
+        self, name: str, child: Child, *, contract: str = contracts.EVOLVE, pipeline: str = "",
+        chunk: tuple[datetime, datetime] | None = None,
+    ) -> dict[str, Any]:
+        """Replace the array elements of the batch's parents, in one transaction."""
+        started = datetime.now(timezone.utc)
+        head = self.audit.head(name)
+        df, schema, added, rejected = self.audit.agree(child.rows, head, contract)
+        self._add_columns(name, schema, added)
+        metrics = self._merge(
+            name, df, child.parent_key, None, create=head is None,
+            statements=lambda staging: children_statements(
+                self.table(name), staging, df.columns, child.parent_key, child.positions[-1]
+            ),
+        )
+        return self.audit.commit_external(
+            name, "merge", metrics, schema, cursor=None, added=added, rejected=rejected,
+            pipeline=pipeline, move_cursor=False, chunk=chunk, started=started,
+        )
+
     def _add_columns(self, name: str, schema: T.StructType, added: Sequence[str]) -> None:
         if added:
             self._execute(*[add_column_statement(self.table(name), schema[c]) for c in added])
@@ -180,8 +201,9 @@ class JdbcTarget:
     def _merge(
         self, name: str, latest: DataFrame, key: list[str], cursor: str | None, *,
         create: bool, newer: str | None = None,
+        statements: Callable[[str], list[str]] | None = None,
     ) -> dict[str, Any]:
-        """Stage the rows, then let the database merge them in one statement."""
+        """Stage the rows, then let the database merge them in one transaction."""
         staging = self.table(f"{name}_stage_{uuid.uuid4().hex[:8]}")
         seen = Observation()
         watched = latest.observe(seen, *load_metrics(latest, cursor, key))
@@ -193,7 +215,11 @@ class JdbcTarget:
             if create:
                 # Appending no rows creates the table if it is not there yet.
                 self._write(latest.limit(0), self.table(name), "append")
-            self._execute(merge_statement(self.table(name), staging, latest.columns, key, newer))
+            if statements is not None:
+                self._execute(*statements(staging))
+            else:
+                target = self.table(name)
+                self._execute(merge_statement(target, staging, latest.columns, key, newer))
         finally:
             self._execute(f"DROP TABLE {staging}")
         return metrics
