@@ -21,7 +21,7 @@ from decimal import Decimal
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,7 @@ DEFAULT_BUCKETS = 8
 # What a load reports that wrote nothing.
 NO_ROWS = {
     "n_rows": 0, "null_keys": 0, "null_cursors": 0, "min_cursor": None, "max_cursor": None,
+    "buckets": [],
 }
 # A delta counts as small, and its keys are broadcast, only below both bounds.
 SMALL_DELTA_ROWS = 1_000_000
@@ -308,33 +309,38 @@ class Dataset:
             # The key is new or another one: everything is bucketed anew.
             before = contracts.conform(self._read(table, head), schema)
             df = combine(before, df, False) if combine else before.unionByName(df)
-        metrics = self._write(df, staged_in, key, buckets, cursor)
+        staging = staged_in != folder
+        metrics = self._write(df, staged_in, key, buckets, cursor, bucketed=not staging)
         if key and disposition == "merge" and metrics["null_keys"]:
             storage.remove(self.spark, staged_in)
             raise NullKeys(f"{metrics['null_keys']} rows of {table!r} have a NULL in {key}")
 
-        touched = self._buckets_in(staged_in) if key else []
+        touched = sorted(metrics["buckets"])
         layout: dict[int, list[str]] = {} if fresh else dict(head.layout)
-        if merging or rewrite:
-            if metrics["n_rows"] or rewrite:
-                staged = self.spark.read.schema(schema).parquet(staged_in).drop(BUCKET)
-                small = metrics["n_rows"] <= SMALL_DELTA_ROWS and (
-                    storage.size_in_bytes(self.spark, staged_in) <= SMALL_DELTA_BYTES
-                )
-                base = self._read(table, head, None if rewrite else touched)
-                base = contracts.conform(base, schema)
-                merged = combine(base, staged, small) if merging else base.unionByName(staged)
-                self._write(merged, folder, key, buckets, cursor, clustered=small and not rewrite)
+        if not staging:
+            for b in touched:
+                layout[b] = [*layout.get(b, []), load_id]
+        elif metrics["n_rows"] or rewrite:
+            staged = self.spark.read.schema(schema).parquet(staged_in)
+            small = not rewrite and metrics["n_rows"] <= SMALL_DELTA_ROWS and (
+                storage.size_in_bytes(self.spark, staged_in) <= SMALL_DELTA_BYTES
+            )
+            if small:
+                # Base rows come from bucket folders; with few new rows gathered likewise, the
+                # whole needs no further shuffle.
+                staged = (
+                    staged.withColumn(BUCKET, self._bucket(key, buckets))
+                    .hint("rebalance", F.col(BUCKET)).drop(BUCKET)
+                )
+            base = self._read(table, head, None if rewrite else touched)
+            base = contracts.conform(base, schema)
+            merged = combine(base, staged, small) if merging else base.unionByName(staged)
+            written = self._write(merged, folder, key, buckets, cursor, clustered=small)["buckets"]
             if rewrite:
                 layout, fresh = {}, True
-                touched = self._buckets_in(folder) if key else []
-            # A bucket whose last rows went has no folder any more.
-            written = set(self._buckets_in(folder)) if key else set()
+            # A touched bucket whose last rows went has no folder any more.
             layout = {b: ids for b, ids in layout.items() if b not in touched}
-            layout.update({b: [load_id] for b in touched if b in written})
-        else:
-            for b in touched:
-                layout[b] = [*layout.get(b, []), load_id]
+            layout.update({b: [load_id] for b in sorted(written)})
 
         row = self._audit_row(
             head, load_id, disposition, metrics, schema, key=key, cursor=cursor, added=added,
@@ -342,7 +348,7 @@ class Dataset:
             started=started, layout=layout, buckets=buckets, fresh=fresh,
         )
         self._commit(table, row["seq"], row)
-        if staged_in != folder:
+        if staging:
             storage.remove(self.spark, staged_in)
         return row
 
@@ -383,30 +389,34 @@ class Dataset:
         self._commit(table, row["seq"], row)
         return row
 
+    def _bucket(self, key: Sequence[str], buckets: int) -> Column:
+        return F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(buckets)).cast("int")
+
     def _write(
         self, df: DataFrame, folder: str, key: list[str], buckets: int, cursor: str | None,
-        clustered: bool = False,
+        bucketed: bool = True, clustered: bool = False,
     ) -> dict[str, Any]:
-        """Write rows, bucketed by key if there is one, and measure them on the way.
+        """Write rows and measure them on the way, ``bucketed`` by key if there is one.
 
         Rebalancing by bucket lets Spark settle file sizes at run time: large buckets are split
-        over tasks, small ones share one. Rows that come from bucket folders skip it.
+        over tasks, small ones share one. Rows that are ``clustered`` already skip it.
         """
+        bucketed = bucketed and bool(key)
+        columns = load_metrics(df, cursor if cursor in df.columns else None, key)
         if key:
-            df = df.withColumn(BUCKET, F.expr(f"pmod(xxhash64({', '.join(f'`{k}`' for k in key)}), {buckets})").cast("int"))
+            # At most one number per bucket, however many rows there are.
+            columns.append(F.collect_set(self._bucket(key, buckets)).alias("buckets"))
+        if bucketed:
+            df = df.withColumn(BUCKET, self._bucket(key, buckets))
             if not clustered:
                 df = df.hint("rebalance", F.col(BUCKET))
         seen = Observation()
-        writer = df.observe(seen, *load_metrics(df, cursor if cursor in df.columns else None, key)).write
-        if key:
+        writer = df.observe(seen, *columns).write
+        if bucketed:
             writer = writer.partitionBy(BUCKET)
         writer.mode("errorifexists").parquet(folder)
         return {**NO_ROWS, **seen.get}
 
-    def _buckets_in(self, folder: str) -> list[int]:
-        names = storage.child_names(self.spark, folder)
-        return sorted(int(n.split("=", 1)[1]) for n in names if n.startswith(f"{BUCKET}="))
-
     def _record(self, row: Mapping[str, Any]) -> DataFrame:
         """One audit row, built without a Python worker."""
 
