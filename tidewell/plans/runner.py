@@ -240,16 +240,15 @@ def run_backfill(
     use_utc(spark)
     for bound in (start, end):
         if bound.tzinfo is None:
-            raise ValueError(f"{bound}: timestamp must be timezone-aware")
+            raise ValueError(f"backfill bound {bound} must name its time zone")
     if spec.sync.mode != "incremental":
         raise ValueError(
-            f"run_backfill: pipeline {spec.name!r} sync.mode is {spec.sync.mode!r}; "
-            "backfill requires 'incremental'"
+            f"{spec.name!r} syncs by {spec.sync.mode!r}, but a backfill requires 'incremental'"
         )
     if spec.sync.backfill is None:
-        raise ValueError(f"run_backfill: pipeline {spec.name!r} has no sync.backfill block")
+        raise ValueError(f"{spec.name!r} has no sync.backfill block to take a chunk size from")
     if spec.disposition == "replace":
-        raise ValueError("run_backfill: every chunk would replace the one before")
+        raise ValueError("a backfill cannot replace: every chunk would wipe the one before")
     naive = [b.astimezone(timezone.utc).replace(tzinfo=None) for b in (start, end)]
     chunks = backfill.chunk_bounds(*naive, spec.sync.backfill.chunk_size)
     cursor = spec.sync.backfill.partition_field or spec.sync.cursor_field

@@ -52,7 +52,7 @@ def check_config(source: Source) -> None:
     check_keys(source, CONFIG_KEYS)
     label = f"sql_database source {source.connection!r}"
     if not source.config.get("tables"):
-        raise ValueError(f"{label}: source.config.tables is required and non-empty")
+        raise ValueError(f"{label} needs config.tables with at least one name")
     # Spark always extracts in columns, so the back end is accepted and has no effect.
     for key, allowed in (("backend", BACKENDS), ("reflection_level", REFLECTION_LEVELS)):
         value = source.config.get(key)
@@ -66,8 +66,8 @@ def build(spark: SparkSession, source: Source, connections: Connections) -> dict
     check_config(source)
     if source.connection not in connections:
         raise ValueError(
-            f"sql_database source {source.connection!r}: missing credentials; "
-            f"pass connections entry {source.connection!r} with url, user and password"
+            f"sql_database source {source.connection!r}: connections must have an entry for it "
+            "with url, user and password"
         )
     connection = connections[source.connection]
     return {

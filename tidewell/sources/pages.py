@@ -30,12 +30,12 @@ def endpoints_of(source: Source) -> tuple[str, list[dict[str, Any]]]:
     config, label = source.config, f"rest_api source {source.connection!r}"
     base_url = (config.get("client") or {}).get("base_url") or config.get("base_url")
     if not base_url:
-        raise ValueError(f"{label}: source.config.base_url (or client.base_url) is required")
+        raise ValueError(f"{label} needs config.base_url or config.client.base_url")
     listed = config.get("resources")
     if listed is None:
         listed = config.get("endpoints")
     if not listed:
-        raise ValueError(f"{label}: source.config.endpoints (or resources) is required")
+        raise ValueError(f"{label} needs config.endpoints or config.resources")
     defaults: Mapping[str, Any] = config.get("resource_defaults") or {}
     named = [{"name": item} if isinstance(item, str) else dict(item) for item in listed]
     return base_url, [{**defaults, **item} for item in named]

@@ -54,10 +54,10 @@ def check_keys(source: Source, allowed: frozenset[str], required: tuple[str, ...
     label = f"{source.type} source {source.connection!r}"
     unknown = sorted(set(source.config) - allowed)
     if unknown:
-        raise ValueError(f"{label}: unknown config keys {unknown}; allowed: {sorted(allowed)}")
+        raise ValueError(f"{label} does not take {unknown}, only {sorted(allowed)}")
     for key in required:
         if not source.config.get(key):
-            raise ValueError(f"{label}: source.config.{key} is required")
+            raise ValueError(f"{label} needs config.{key}")
 
 
 def _load_builtin() -> None:

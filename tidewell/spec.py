@@ -200,7 +200,7 @@ class PipelineSpec:
         if self.schedule is not None:
             cron = self.schedule.cron.split(" ")
             if len(cron) != 5 or not all(re.fullmatch(CRON_FIELD_FORMAT, f) for f in cron):
-                found.append("schedule.cron must be 5 space-separated fields of [0-9*/,-?]")
+                found.append(f"schedule.cron needs five fields of {CRON_FIELD_FORMAT}, one space apart")
         return found
 
     def _rule_problems(self) -> list[str]:
@@ -208,25 +208,25 @@ class PipelineSpec:
         counted = self.quality.row_count_check
         rules = (
             (mode == "incremental" and sync.cursor_field is None,
-             "sync.cursor_field is required when sync.mode is 'incremental'"),
+             "sync.mode 'incremental' needs sync.cursor_field"),
             (mode == "full_refresh" and sync.cursor_field is not None,
-             "sync.cursor_field is not allowed when sync.mode is 'full_refresh'"),
+             "sync.mode 'full_refresh' takes no sync.cursor_field"),
             (mode == "cdc" and self.source.type != "pg_cdc",
-             "sync.mode 'cdc' requires source.type 'pg_cdc'"),
+             "sync.mode 'cdc' reads change logs only (source.type 'pg_cdc')"),
             (mode == "cdc" and not sync.key,
-             "sync.primary_key is required when sync.mode is 'cdc'"),
+             "sync.mode 'cdc' needs sync.primary_key"),
             (self.options.write_disposition == "merge" and not sync.key,
-             "sync.primary_key is required when options.write_disposition is 'merge'"),
+             "options.write_disposition 'merge' needs sync.primary_key"),
             (sync.backfill is not None and mode != "incremental",
-             "sync.backfill requires sync.mode 'incremental'"),
+             "sync.backfill goes with sync.mode 'incremental' only"),
             (sync.tolerance_seconds > 0 and sync.cursor_field is None,
-             "sync.tolerance_seconds requires sync.cursor_field"),
+             "sync.tolerance_seconds needs sync.cursor_field"),
             (sync.lookback is not None and sync.cursor_field is None,
-             "sync.lookback requires sync.cursor_field"),
+             "sync.lookback needs sync.cursor_field"),
             (counted and self.source.type not in COUNTED_SOURCES,
-             f"quality.row_count_check requires source.type in {list(COUNTED_SOURCES)}"),
+             f"quality.row_count_check counts {list(COUNTED_SOURCES)} sources only"),
             (counted and self.destination.type == "databricks",
-             "quality.row_count_check is not supported for destination 'databricks'"),
+             "quality.row_count_check cannot count a 'databricks' destination"),
         )
         return [message for broken, message in rules if broken]
 
