@@ -46,6 +46,10 @@ def test_rule(spark, alerts, minutes, sent):
     assert run(spark, alerts, minutes, 4) == sent
 
 
+def test_no_alerts(spark):
+    assert run(spark, [], 15, 4) == set()
+
+
 @pytest.mark.parametrize("minutes", [7, 15, 600])
 def test_hot_key_cut_into_ranges(spark, minutes):
     """One key holds most alerts, a regular beat that never leaves a gap."""

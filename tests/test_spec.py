@@ -66,6 +66,11 @@ def test_valid_spec():
         ({"sync.mode": "full_refresh", "sync.cursor_field": None, "sync.tolerance_seconds": 5},
          "sync.tolerance_seconds needs"),
         ({"sync.tolerance_seconds": 86401}, "0..86400"),
+        ({"sync.tolerance_seconds": "5"}, "sync.tolerance_seconds: '5' has the wrong type"),
+        ({"sync.primary_key": ["id", 3]}, "sync.primary_key"),
+        ({"sync.primary_key": []}, "'merge' needs sync.primary_key"),
+        ({"schedule.enabled": 1}, "schedule.enabled: 1 has the wrong type"),
+        ({"source.config": ["a"]}, "source.config"),
         ({"alerts.dedup_window_minutes": 1441}, "0..1440"),
         ({"sync.sla_minutes": 0}, "sla_minutes must be above 0"),
         ({"schedule.cron": "* * *"}, "schedule.cron"),

@@ -27,7 +27,11 @@ DEFAULT_BATCH_SIZE = 1000
 
 @dataclass(frozen=True)
 class LogConfig:
-    """The checked settings of a change-log source."""
+    """The checked settings of a change-log source.
+
+    A load takes all changes there are, so it never splits a transaction; ``batch_size`` is for
+    callers that cut the log themselves with ``tx_batches``.
+    """
 
     slot: str
     tables: list[str]

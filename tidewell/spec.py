@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 from dataclasses import MISSING, dataclass, field, fields
-from typing import Any
+from types import UnionType
+from typing import Any, Union, get_args, get_origin, get_type_hints
 
 from tidewell.functions.durations import fixed_seconds, parse_duration
 
@@ -104,6 +105,18 @@ class Quality:
     check_mode: str = "cross_cluster"
 
 
+def _fits(value: Any, hint: Any) -> bool:
+    """Whether a value has the type that a field declares."""
+    origin, inner = get_origin(hint), get_args(hint)
+    if origin in (UnionType, Union):
+        return any(_fits(value, option) for option in inner)
+    if origin is list:
+        return isinstance(value, list) and all(_fits(item, inner[0]) for item in value)
+    if hint is int:
+        return isinstance(value, int) and not isinstance(value, bool)
+    return isinstance(value, origin or hint)
+
+
 def _section(cls: type, raw: Any, path: str, problems: list[str]) -> Any:
     """One block of the spec as ``cls``; unknown and missing keys become problems."""
     if not isinstance(raw, Mapping):
@@ -123,7 +136,11 @@ def _section(cls: type, raw: Any, path: str, problems: list[str]) -> Any:
     values = {k: raw[k] for k in allowed if k in raw}
     if cls is Sync and values.get("backfill") is not None:
         values["backfill"] = _section(Backfill, values["backfill"], f"{path}.backfill", problems)
-    return cls(**values)
+    hints = get_type_hints(cls)
+    wrong = [key for key, value in values.items() if not _fits(value, hints[key])]
+    for key in wrong:
+        problems.append(f"{path}.{key}: {values[key]!r} has the wrong type")
+    return None if wrong else cls(**values)
 
 
 @dataclass(frozen=True)
