@@ -227,6 +227,12 @@ def test_pages(spark):
     assert normalize.records_of_pages(normalize.limit_pages(pages, 1), shape).count() == 2
 
 
+def test_inferred_fractions_are_double(spark):
+    pages = spark.createDataFrame([('{"results": [{"a": 1.50, "b": 2, "c": [0.1]}]}',)], "payload string")
+    inferred = normalize.infer_json_type(pages, "payload").simpleString()
+    assert inferred == "struct<results:array<struct<a:double,b:bigint,c:array<double>>>>"
+
+
 def test_flatten_and_children(spark):
     nested = spark.createDataFrame(
         [(1, {"a": {"x y": 1}, "b": "t"}, [{"q": {"r": 5}}, {"q": {"r": 6}}], ["s"])],

@@ -95,10 +95,20 @@ def json_schema(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame
     return df.groupBy(*by).agg(F.schema_of_variant_agg(parsed).alias("json_schema"))
 
 
+def _fractions_as_double(dtype: T.DataType) -> T.DataType:
+    if isinstance(dtype, T.StructType):
+        fields = [T.StructField(f.name, _fractions_as_double(f.dataType)) for f in dtype]
+        return T.StructType(fields)
+    if isinstance(dtype, T.ArrayType):
+        return T.ArrayType(_fractions_as_double(dtype.elementType))
+    return T.DoubleType() if isinstance(dtype, T.DecimalType) and dtype.scale > 0 else dtype
+
+
 def infer_json_type(df: DataFrame, column: str) -> T.DataType:
-    """The type to parse a JSON text column with; only one schema text reaches the driver."""
+    """The type to parse a JSON text column with; only one schema text reaches the driver.
+    Fractions become double, as in Spark's JSON reader, not the decimals of this sample."""
     ddl = json_schema(df, column).first()["json_schema"].replace("OBJECT<", "STRUCT<")
-    return T._parse_datatype_string(ddl)
+    return _fractions_as_double(T._parse_datatype_string(ddl))
 
 
 def records_of_pages(

@@ -22,7 +22,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
         @wraps(function)
         def in_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
             use_utc(spark)
-            return function(spark, sf_dir)
+            return function(spark, str(sf_dir))
 
         QUERIES[key] = in_utc
         if sql is not None:

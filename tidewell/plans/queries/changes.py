@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.scalars import lsn_diff
 from tidewell.operators import changes
+from tidewell.plans import runner
 from tidewell.plans.queries.book import query, table
 from tidewell.session import new_scratch
 from tidewell.sinks.dataset import Dataset
+from tidewell.spec import PipelineSpec
 from tidewell.streaming.change_stream import apply_stream, read_log
 
 KEY = ["user_id"]
@@ -127,6 +129,40 @@ def cdc_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_columns(target.read("accounts"))
 
 
+@query(f"SELECT user_id, value, event_type, _lsn, _deleted_at FROM ({_APPLIED})")
+def cdc_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A spec over a stored copy and a growing log: copy and early changes first, then the late
+    ones, then a run that finds nothing new. Only chosen columns are carried."""
+    scratch = new_scratch(spark, "cdc-run")
+    customers = table(spark, sf_dir, "customer")
+    customers.select(
+        F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("value"),
+        F.lit(None).cast("string").alias("event_type"),
+    ).write.parquet(f"{scratch}/copy/accounts")
+    log = change_log(spark, sf_dir).withColumn("table_name", F.lit("accounts"))
+    late = F.col("commit_ts") >= F.lit("2024-01-15").cast("timestamp_ntz")
+    spec = PipelineSpec.from_dict(
+        {
+            "name": "accounts_cdc",
+            "source": {
+                "type": "pg_cdc", "connection": "pg",
+                "config": {
+                    "slot_name": "s", "publication_name": "p", "tables": ["accounts"],
+                    "include_columns": {"accounts": ["value", "event_type"]},
+                },
+            },
+            "sync": {"mode": "cdc", "primary_key": "user_id"},
+            "destination": {"type": "duckdb", "connection": "local", "dataset": "raw"},
+        }
+    )
+    place = {"pg": {"log_path": f"{scratch}/log", "snapshot_path": f"{scratch}/copy"}}
+    for part in (log.filter(~late), log.filter(late), None):
+        if part is not None:
+            part.write.mode("append").parquet(f"{scratch}/log")
+        runner.run(spark, spec, scratch, place)
+    return Dataset(spark, scratch, "raw").read("accounts")
+
+
 @query(f"""
     SELECT event_id AS lsn, event_id // 7 AS tx_id, {_OP} AS op, ts AS commit_ts, user_id,
         event_type, value, props FROM events WHERE {_OP} IN ('I', 'U')

@@ -300,3 +300,52 @@ def dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         "destination": {"type": "duckdb", "connection": "local", "dataset": "raw"},
     }
     return runner.dry_run(spark, PipelineSpec.from_dict(raw))
+
+
+@query("SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS size_in_bytes FROM documents GROUP BY 1")
+def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as text files per source; the listing adds up their sizes."""
+    folder = new_scratch(spark, "documents-txt")
+    documents = table(spark, sf_dir, "documents").select("source", "text")
+    documents.write.partitionBy("source").text(folder)
+    listed = files.list_files(spark, folder, "*.txt")
+    source = F.regexp_extract("file_url", "/source=([^/]+)/", 1)
+    return listed.groupBy(source.alias("source")).agg(F.sum("size_in_bytes").alias("size_in_bytes"))
+
+
+@query("SELECT * FROM orders")
+def file_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six files as a stream of three pages of two files each."""
+    scratch = new_scratch(spark, "orders-stream")
+    orders = table(spark, sf_dir, "orders")
+    orders.repartition(6).write.parquet(f"{scratch}/in")
+    stream = files.stream_files(
+        spark, f"{scratch}/in", "parquet", orders.schema, "*.parquet", files_per_page=2
+    )
+    query = (
+        stream.writeStream.format("parquet").option("path", f"{scratch}/out")
+        .option("checkpointLocation", f"{scratch}/checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(orders.schema).parquet(f"{scratch}/out")
+
+
+@query("""
+    SELECT 'load_customer' AS pipeline, 'ok' AS status, count(*) AS n_rows FROM customer
+    UNION ALL SELECT 'load_orders', 'ok', count(*) FROM orders
+    UNION ALL SELECT 'load_part', 'ok', count(*) FROM part
+    UNION ALL SELECT 'load_absent', 'failed', 0
+""")
+def fleet_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four full refreshes, one of a table that does not exist."""
+    specs = [
+        {
+            "name": f"load_{name}",
+            "source": {"type": "filesystem", "connection": name,
+                       "config": {"bucket_url": sf_dir, "file_glob": f"{name}.parquet"}},
+            "sync": {"mode": "full_refresh"},
+            "destination": {"type": "duckdb", "connection": "local", "dataset": f"raw_{name}"},
+        }
+        for name in ("customer", "orders", "part", "absent")
+    ]
+    return runner.run_fleet(spark, specs, new_scratch(spark, "fleet")).drop("error")

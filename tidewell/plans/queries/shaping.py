@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from tidewell.operators import normalize
 from tidewell.plans.queries.book import query, table
 from tidewell.session import new_scratch
 from tidewell.sinks.dataset import Dataset
+from tidewell.sources import registry
+from tidewell.spec import Source
 
 PAGE_SIZE = 20
 RECORD = "results ARRAY<STRUCT<o_orderkey: BIGINT, o_custkey: BIGINT, o_totalprice: DOUBLE, o_orderpriority: STRING>>"
@@ -102,3 +106,14 @@ def child_table_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         _, children = normalize.split_nested("pages", part, key, keep_empty=True)
         target.load_children("pages__results", children["pages__results"])
     return target.read("pages__results")
+
+
+@query(f"SELECT {_FIELDS} FROM orders")
+def page_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored pages through the source builder: one table per endpoint, types inferred."""
+    folder = new_scratch(spark, "pages")
+    order_pages(spark, sf_dir).write.parquet(folder)
+    config = {"base_url": "https://api.example.com", "endpoints": ["O", "F", "P"]}
+    source = Source("rest_api", "shop", config)
+    tables = registry.build(spark, source, {"shop": {"pages_path": folder}})
+    return reduce(DataFrame.unionByName, tables.values())
