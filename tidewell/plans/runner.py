@@ -167,8 +167,7 @@ def run(
         done = _load_tables(spec, target, tables, limit, parallel)
     if spec.quality.row_count_check and limit is None:
         check_counts(reconcile(spark, spec, target, connections))
-    ids = [row["load_id"] for row in done]
-    return target.loads().filter(F.col("load_id").isin(ids))
+    return target.loads_of(done)
 
 
 def reconcile(
@@ -260,17 +259,16 @@ def run_backfill(
     all_chunks = spark.createDataFrame(
         [(i, *c) for i, c in enumerate(chunks)], backfill.CHUNK_SCHEMA
     )
-    ids: list[str] = []
+    done: list[dict[str, Any]] = []
     for table, df in tables.items():
         todo = backfill.pending_chunks(all_chunks, target.done_chunks(table))
         for chunk in todo.orderBy("chunk_id").collect():
             part = bounded_range(df, cursor, chunk.chunk_start, chunk.chunk_end)
-            done = _store(
+            done += _store(
                 target, table, part, spec, cursor, move_cursor=False,
                 chunk=(chunk.chunk_start, chunk.chunk_end),
             )
-            ids += [row["load_id"] for row in done]
-    return target.loads().filter(F.col("load_id").isin(ids))
+    return target.loads_of(done)
 
 
 def run_fleet(

@@ -165,11 +165,21 @@ class Dataset:
             "load_id", "pipeline", "table_name", "seq", "new_columns"
         )
 
+    def loads_of(self, done: Sequence[Mapping[str, Any]]) -> DataFrame:
+        """The audit rows of some loads only, without listing the whole history."""
+        schema = f"{LOADS_SCHEMA}, table_name string, seq bigint"
+        paths = [f"{self._commits(row['table_name'])}/seq={row['seq']}" for row in done]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(schema).option("basePath", f"{self.path}/_loads")
+        return reader.parquet(*paths)
+
     def done_chunks(self, table: str) -> DataFrame:
-        return self.loads().filter(
-            (F.col("table_name") == table) & (F.col("status") == "ok")
-            & F.col("chunk_start").isNotNull()
-        ).select("chunk_start", "chunk_end")
+        """Bounds of the backfill chunks that are loaded."""
+        if not storage.exists(self.spark, self._commits(table)):
+            return self.spark.createDataFrame([], "chunk_start timestamp_ntz, chunk_end timestamp_ntz")
+        commits = self.spark.read.schema(LOADS_SCHEMA).parquet(self._commits(table))
+        return commits.filter(F.col("chunk_start").isNotNull()).select("chunk_start", "chunk_end")
 
     def cursor(self, table: str) -> str | None:
         head = self.head(table)
@@ -275,6 +285,8 @@ class Dataset:
         if contract == contracts.FREEZE:
             return contracts.contract_freeze(head.schema, df), head.schema, [], None
         if contract == contracts.DISCARD_ROW:
+            # Counted where rows are read, so a stage that Spark repeats may count rows twice;
+            # the rows themselves are not affected.
             seen = Observation()
             broken = contracts.violates(head.schema, df)
             watched = df.observe(seen, F.count_if(broken).alias("n_rejected"))
@@ -350,7 +362,7 @@ class Dataset:
         self._commit(table, row["seq"], row)
         if staging:
             storage.remove(self.spark, staged_in)
-        return row
+        return {"table_name": table, **row}
 
     def _audit_row(
         self, head: Head | None, load_id: str, disposition: str, metrics: Mapping[str, Any],
@@ -387,7 +399,7 @@ class Dataset:
             fresh=disposition == "replace", **facts,
         )
         self._commit(table, row["seq"], row)
-        return row
+        return {"table_name": table, **row}
 
     def _bucket(self, key: Sequence[str], buckets: int) -> Column:
         return F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(buckets)).cast("int")

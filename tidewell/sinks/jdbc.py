@@ -96,6 +96,9 @@ class JdbcTarget:
     def loads(self) -> DataFrame:
         return self.audit.loads()
 
+    def loads_of(self, done: Sequence[Mapping[str, Any]]) -> DataFrame:
+        return self.audit.loads_of(done)
+
     def cursor(self, name: str) -> str | None:
         return self.audit.cursor(name)
 
