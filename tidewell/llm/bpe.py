@@ -15,11 +15,24 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.hashing import tidy
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # A worker forgets its memo tables when they have this many entries, to bound its memory.
-MEMO = 400_000
+MEMO = 150_000
 # Ids per batch that goes back to Spark.
-BATCH_IDS = 2_000_000
+BATCH_IDS = 1_000_000
+
+
+def ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        pairs = [line.split() for line in lines if line.strip()]
+    return {base64.b64decode(a): int(b) for a, b in pairs}
+
+
+@cache
+def token_bytes(path: str) -> dict[int, bytes]:
+    return {number: token for token, number in ranks(path).items()}
 
 
 class Encoder:
@@ -27,11 +40,8 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str) -> None:
         self.pieces = regex.compile(pattern).findall
-        with open(path, "rb") as lines:
-            pairs = [line.split() for line in lines if line.strip()]
-        self.ids = {base64.b64decode(a).decode("latin-1"): int(b) for a, b in pairs}
+        self.ids = {token.decode("latin-1"): number for token, number in ranks(path).items()}
         self.texts = {i: t for t, i in self.ids.items()}
-        self.bytes = {i: t.encode("latin-1") for t, i in self.ids.items()}
         self.matcher = ahocorasick.Automaton()
         for text, number in self.ids.items():
             self.matcher.add_word(text, number)
@@ -166,6 +176,7 @@ def encode(
                         [names.slice(first, k + 1 - first), ids], ["doc_id", "ids"]
                     )
                     first, held, parts = k + 1, 0, []
+        tidy()
 
     return chosen.mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
@@ -176,7 +187,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = encoder(path, public_tokenizers.PATTERN).bytes
+        table = token_bytes(path)
         for batch in batches:
             column = batch.column(1)
             decoded = [

@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewell.llm.common import components, join_by_key, partitions, stage
-from tidewell.llm.hashing import BYTES, Spans, mix, pack, unpack
+from tidewell.llm.hashing import BYTES, Spans, mix, pack, tidy, unpack
 
 NGRAM = 5
 NUMERATOR, DENOMINATOR = 80, 100
 CHUNK = 1 << 20
-FLUSH = 3 << 20  # entries a task holds before it sends them
-BUCKET_BYTES = 6 << 20  # text per bucket of n-grams
+FLUSH = 1_500_000  # entries a task holds before it sends them
+BUCKET_BYTES = 4 << 20  # text per bucket of n-grams
 BLOCK = 2_048  # members of a cluster that one task holds
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -144,6 +144,7 @@ def _entries(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
             yield flush()
     if count:
         yield flush()
+    tidy()
 
 
 def _shared(table: pa.Table, class_buckets: int) -> pa.Table:
@@ -272,6 +273,7 @@ def _classes(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFra
                 [pa.array([k["doc_id"] for k in names], pa.int64()), pa.array([k["mark"] for k in names], pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.int64())],
                 names=["doc_id", "mark", "n_shingles", "set_id"],
             )
+        tidy()
 
     owners = stage(
         named.select(F.struct("doc_id", "mark"), "text").mapInArrow(

@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import partitions, stage
-from tidewell.llm.hashing import Spans, mix, pack, unpack
+from tidewell.llm.hashing import Spans, mix, pack, tidy, unpack
 
 LENGTH, GRAM = 100, 24
 HALF = LENGTH // 2
 CHUNK = 1 << 20  # bytes hashed at a time; anchors() needs less than 1 << 24
-FLUSH = 1 << 20  # entries a task holds before it sends them
-BUCKET_BYTES = 16 << 20  # text per bucket of anchors
+FLUSH = 300_000  # entries a task holds before it sends them
+SEND = 8 << 20  # text per batch that goes back to Spark
+BUCKET_BYTES = 8 << 20  # text per bucket of anchors
 NULL_ID = 2**63 - 1
 SIDE = (("kind", 1), ("cls", 6), ("run", 6), ("key", 8), ("mark", 4), ("lo", 5), ("hi", 1), ("off", 1))
 
@@ -151,6 +152,7 @@ def _find(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
             chunk(texts, keys, marks)
     if count:
         yield flush()
+    tidy()
 
 
 def _rank(table: pa.Table) -> pa.Table:
@@ -197,11 +199,12 @@ def _contexts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
                     rows.append(
                         (zlib.crc32(text[at : at + GRAM]) % buckets, key, mark, run["lo"], text[run["lo"] : run["hi"] + LENGTH])
                     )
-            if len(rows) > 50_000:
+            if len(rows) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
                 rows = []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
+    tidy()
 
 
 def _expand(table: pa.Table) -> pa.Table:
@@ -253,7 +256,8 @@ def _remove(batches: Iterator[pa.RecordBatch], carry: bool) -> Iterator[pa.Recor
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         out: list[list] = [[], [], [], []]
-        for raw, whole, part in zip(*(batch.column(k) for k in range(1, 4)), strict=True):
+        first = size = 0
+        for k, (raw, whole, part) in enumerate(zip(*(batch.column(c) for c in range(1, 4)), strict=True)):
             text = raw.as_py() or b""
             spans = _merge([(r["lo"], r["hi"]) for r in (*(whole.as_py() or ()), *(part.as_py() or ()))])
             edges = [0, *(x for s in spans for x in s), len(text)]
@@ -262,10 +266,18 @@ def _remove(batches: Iterator[pa.RecordBatch], carry: bool) -> Iterator[pa.Recor
             out[1].append([{"start": a, "end": b} for a, b in spans])
             out[2].append(sum(b - a for a, b in spans))
             out[3].append(kept.decode("utf-8", "ignore") if carry else None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(out[0], pa.string()), pa.array(out[1], span), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())],
-            names=["row", "kept_sha256", "spans", "n_removed", "kept"],
-        )
+            size += len(text)
+            if size >= SEND or k == batch.num_rows - 1:
+                columns = [
+                    pa.array(c, t) for c, t in zip(out, (pa.string(), span, pa.int64(), pa.string()), strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, k + 1 - first), *columns],
+                    names=["row", "kept_sha256", "spans", "n_removed", "kept"],
+                )
+                out = [[], [], [], []]
+                first, size = k + 1, 0
+    tidy()
 
 
 def repeated_strings(
@@ -321,7 +333,6 @@ def repeated_strings(
     closer = (
         met.filter(touched & open_runs)
         .select("key", "mark", "bytes", "runs")
-        .dropDuplicates(["key", "mark"])
         .mapInArrow(
             lambda it: _contexts(it, buckets), "bucket int, key long, mark long, lo long, bytes binary"
         )
