@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from tidewell.llm.hashing import tidy
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-# A worker forgets its memo tables when they have this many entries, to bound its memory.
-MEMO = 150_000
+# Entries of a worker's memo tables, to bound its memory.
+MEMO, PAIRS = 300_000, 600_000
 # Ids per batch that goes back to Spark.
 BATCH_IDS = 1_000_000
 
@@ -35,21 +35,48 @@ def token_bytes(path: str) -> dict[int, bytes]:
     return {number: token for token, number in ranks(path).items()}
 
 
+class _Memo(dict):
+    """Results by piece, in two generations of MEMO entries: what is used again stays."""
+
+    def __init__(self, work) -> None:
+        self.work, self.old = work, {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        value = self.old.get(piece) or self.work(piece)
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.clear()
+        if len(piece) <= 64:
+            self[piece] = value
+        return value
+
+
 class Encoder:
     """Encodes one piece at a time. Bytes are handled as Latin-1 strings, one character each."""
 
     def __init__(self, path: str, pattern: str) -> None:
         self.pieces = regex.compile(pattern).findall
         self.ids = {token.decode("latin-1"): number for token, number in ranks(path).items()}
-        self.texts = {i: t for t, i in self.ids.items()}
+        most = max(self.ids.values()) + 1
+        self.texts = [""] * most
+        for text, number in self.ids.items():
+            self.texts[number] = text
+        self.sizes = list(map(len, self.texts))
+        self.width = max(self.sizes)
         self.matcher = ahocorasick.Automaton()
         for text, number in self.ids.items():
             self.matcher.add_word(text, number)
-        self.width = max(map(len, self.ids))
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.shorter: dict[int, int] = {}
-        self.whole: dict[int, bool] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.shorter = [self._next_shorter(text) for text in self.texts]
+        self.whole: list[bool | None] = [None] * most  # whether merging a token's bytes gives it
+        self.fits: dict[int, bool] = {}
+        self.memo = _Memo(self.piece)
+
+    def _next_shorter(self, text: str) -> int:
+        """The longest token that is a proper beginning of this one; -1 if there is none."""
+        for n in range(len(text) - 1, 0, -1):
+            if (token := self.ids.get(text[:n], -1)) >= 0:
+                return token
+        return -1
 
     def merged(self, text: str) -> list[int]:
         """The merges as defined: again and again the adjacent pair of lowest rank, leftmost first."""
@@ -63,30 +90,17 @@ class Encoder:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return [self.ids[p] for p in parts]
 
-    def reachable(self, token: int) -> bool:
-        """Whether merging a token's own bytes gives that token."""
-        if (known := self.whole.get(token)) is None:
-            known = self.whole[token] = self.merged(self.texts[token]) == [token]
-        return known
-
     def compatible(self, left: int, right: int) -> bool:
-        """Whether merging the bytes of both gives just these two tokens."""
-        pair = (left, right)
-        if (known := self.fits.get(pair)) is None:
-            if len(self.fits) > MEMO:
-                self.fits.clear()
-            known = self.fits[pair] = self.merged(self.texts[left] + self.texts[right]) == [left, right]
-        return known
-
-    def next_shorter(self, token: int) -> int:
-        """The longest token that is a proper beginning of this one; -1 if there is none."""
-        if (known := self.shorter.get(token)) is None:
-            text, known = self.texts[token], -1
-            for n in range(len(text) - 1, 0, -1):
-                if (known := self.ids.get(text[:n], -1)) >= 0:
-                    break
-            self.shorter[token] = known
-        return known
+        """Whether merging the bytes of both gives just these two tokens; -1 is no token."""
+        if self.whole[right] is None:
+            self.whole[right] = self.merged(self.texts[right]) == [right]
+        fit = self.whole[right] and (
+            left < 0 or self.merged(self.texts[left] + self.texts[right]) == [left, right]
+        )
+        if len(self.fits) > PAIRS:
+            self.fits.clear()
+        self.fits[left << 32 | right] = fit
+        return fit
 
     def longest(self, text: str, at: int) -> int:
         """The longest token that the text has at this place; every single byte is a token."""
@@ -102,40 +116,37 @@ class Encoder:
         From each place the longest token is tried first, then shorter ones. A place from which
         nothing leads on is marked and never entered again, so the work is linear in the text.
         """
-        n, at, out = len(text), 0, []
+        n, at, out, last = len(text), 0, [], -1
+        sizes, shorter, fits, longest = self.sizes, self.shorter, self.fits, self.longest
         dead = bytearray(n + 1)
-        token = self.longest(text, 0)
-        while at < n:
+        token = longest(text, 0)
+        while True:
             while token >= 0:
-                end = at + len(self.texts[token])
-                if not dead[end] and self.reachable(token) and (not out or self.compatible(out[-1], token)):
-                    break
-                token = self.next_shorter(token)
+                end = at + sizes[token]
+                if not dead[end]:
+                    fit = fits.get(last << 32 | token)
+                    if self.compatible(last, token) if fit is None else fit:
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at = end
-                if at < n:
-                    token = self.longest(text, at)
+                if end == n:
+                    return out
+                at, last = end, token
+                token = longest(text, at)
             else:
                 dead[at] = 1
-                last = out.pop()
-                at -= len(self.texts[last])
-                token = self.next_shorter(last)
-        return out
+                token = shorter[out.pop()]
+                at -= sizes[last]
+                last = out[-1] if out else -1
 
     def piece(self, piece: str) -> tuple[int, ...]:
-        if (known := self.memo.get(piece)) is None:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            text = piece.encode("utf-8").decode("latin-1")
-            whole = self.ids.get(text)
-            known = (whole,) if whole is not None else tuple(self.backtrack(text))
-            if len(piece) <= 64:
-                self.memo[piece] = known
-        return known
+        text = piece.encode("utf-8").decode("latin-1")
+        whole = self.ids.get(text)
+        return (whole,) if whole is not None else tuple(self.backtrack(text))
 
     def encode(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.piece, self.pieces(text))), np.int32)
+        return np.fromiter(chain.from_iterable(map(self.memo.__getitem__, self.pieces(text))), np.int32)
 
 
 @cache
