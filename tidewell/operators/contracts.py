@@ -104,7 +104,12 @@ def violates(target: T.StructType, incoming: DataFrame) -> Column:
     for field in target:
         if field.name in incoming.columns and incoming.schema[field.name].dataType != field.dataType:
             value = F.col(field.name)
-            broken = broken | (value.isNotNull() & value.try_cast(field.dataType).isNull())
+            held = value.try_cast(field.dataType)
+            broken = broken | (value.isNotNull() & held.isNull())
+            kind = incoming.schema[field.name].dataType
+            if not isinstance(kind, T.StringType) and isinstance(kind, T.AtomicType):
+                # a number or time that does not come back as it was has lost something
+                broken = broken | ~held.try_cast(kind).eqNullSafe(value)
     return broken
 
 

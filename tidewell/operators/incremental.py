@@ -44,12 +44,14 @@ def check_cursor(frames: Mapping[str, DataFrame], cursor: str) -> None:
 
 
 def incremental_filter(
-    df: DataFrame, cursor: str, last: Any = None, lag: float | None = None
-) -> DataFrame:
+    df: DataFrame, cursor: str, last: Any = None, lag: float | None = None,
+    keep_null: bool = False,
+) -> DataFrame:
     """Rows at or after the stored cursor less the lag; everything while nothing is stored.
 
     The bound is inclusive, so that rows sharing the last cursor value are not lost; keyed
-    merges make the repeated ones harmless.
+    merges make the repeated ones harmless. Rows without a cursor value have no place in that
+    order: ``keep_null`` reads them every time, so that none is lost.
     """
     if last is None:
         return df
@@ -60,7 +62,8 @@ def incremental_filter(
             bound = (bound - F.make_dt_interval(secs=F.lit(lag))).cast(dtype)
         else:
             bound = bound - F.lit(lag).cast(dtype)
-    return df.filter(F.col(cursor) >= bound)
+    fresh = F.col(cursor) >= bound
+    return df.filter(fresh | F.col(cursor).isNull() if keep_null else fresh)
 
 
 def bounded_range(df: DataFrame, cursor: str, start: Any, end: Any) -> DataFrame:
@@ -104,3 +107,11 @@ def advance(old: Column, new: Column) -> Column:
 def limit_rows(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     """The first ``n`` rows in a stated order (a top-k, not a sort of the whole table)."""
     return df.orderBy(*order_by).limit(n)
+
+
+def limit_by_cursor(df: DataFrame, n: int, cursor: str) -> DataFrame:
+    """The first ``n`` rows by cursor, and all others that share the last one's value, so that
+    nothing at or before the highest value taken is left behind. Rows without a value wait."""
+    edge = df.select(cursor).filter(F.col(cursor).isNotNull()).orderBy(cursor).limit(n)
+    edge = edge.agg(F.max(cursor).alias("__edge"))
+    return df.join(F.broadcast(edge), F.col(cursor) <= F.col("__edge")).drop("__edge")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import backfill, changes, normalize
 from tidewell.operators.incremental import (
+    limit_by_cursor,
     bounded_range,
     check_cursor,
     drop_loaded,
@@ -70,10 +71,10 @@ def _incremental(
     sync = spec.sync
     last = target.cursor(table)
     lag = lag_seconds(sync.tolerance_seconds, sync.lookback)
-    fresh = incremental_filter(df, sync.cursor_field, last, lag)
+    fresh = incremental_filter(df, sync.cursor_field, last, lag, keep_null=True)
     if last is None or spec.disposition != "append":
         return fresh
-    again = incremental_filter(target.read(table), sync.cursor_field, last, lag)
+    again = incremental_filter(target.read(table), sync.cursor_field, last, lag, keep_null=True)
     flat = [c for c in df.columns if c not in normalize.arrays_of(df) and c in again.columns]
     columns = [*sync.key, sync.cursor_field] if sync.key else flat
     return drop_loaded(fresh, again, list(dict.fromkeys(columns)))
@@ -86,20 +87,22 @@ def _load_changes(
     """Snapshot on the first run or after a reset, then the changes behind the last position."""
     config = changelog.LogConfig.of(spec.source, connections)
     copies = changelog.snapshots(spark, config)
+    # What replaces a table must hold all of it: the copy and the whole log.
+    anew = config.reset or spec.disposition == "replace"
     done = []
     for table, log in tables.items():
-        last = None if config.reset else target.cursor(table)
+        last = None if anew else target.cursor(table)
         log = changelog.shape(log, table, spec.sync.key, config)
         if last is not None:
             log = log.filter(F.col("lsn") > F.lit(int(last)))
-        elif table in copies and (config.reset or target.cursor(table) is None):
+        elif table in copies:
             log = changes.snapshot_plus_stream(
                 changelog.shape(copies[table], table, spec.sync.key, config), log
             )
         done.append(
             target.apply(
                 table, log, spec.sync.key, contract=spec.options.schema_contract,
-                pipeline=spec.name, reset=config.reset or spec.disposition == "replace",
+                pipeline=spec.name, reset=anew,
                 move_cursor=config.flush,
             )
         )
@@ -119,7 +122,9 @@ def _load_tables(
         table, df = item
         if sync.mode == "incremental":
             df = _incremental(df, spec, target, table)
-        if limit is not None:
+            if limit is not None:  # the cursor moves, so rows are taken in its order
+                df = limit_by_cursor(df, limit, sync.cursor_field)
+        elif limit is not None:
             df = limit_rows(df, limit, _order(df, spec))
         return _store(target, table, df, spec, sync.cursor_field)
 

@@ -10,6 +10,7 @@ import importlib
 import json
 import sys
 from collections.abc import Iterator, Mapping
+from itertools import count
 from typing import Any
 
 from pyspark import cloudpickle
@@ -42,7 +43,7 @@ def endpoints_of(source: Source) -> tuple[str, list[dict[str, Any]]]:
 
 
 class PagePartition(InputPartition):
-    def __init__(self, endpoint: str, page_no: int) -> None:
+    def __init__(self, endpoint: str, page_no: int | None) -> None:
         self.endpoint = endpoint
         self.page_no = page_no
 
@@ -53,18 +54,26 @@ class PageReader(DataSourceReader):
         self.pages = json.loads(options["pages"])
 
     def partitions(self) -> list[PagePartition]:
-        return [PagePartition(e, n) for e, count in self.pages.items() for n in range(count)]
+        return [
+            PagePartition(endpoint, page_no)
+            for endpoint, known in self.pages.items()
+            for page_no in ([None] if known is None else range(known))
+        ]
 
     def read(self, partition: PagePartition) -> Iterator[tuple[str, int, str]]:
         module, _, name = self.fetcher.partition(":")
         fetch = getattr(importlib.import_module(module), name)
-        payload = fetch(partition.endpoint, partition.page_no)
-        if payload is not None:
-            yield partition.endpoint, partition.page_no, payload
+        wanted = count() if partition.page_no is None else [partition.page_no]
+        for page_no in wanted:
+            payload = fetch(partition.endpoint, page_no)
+            if payload is None:
+                return
+            yield partition.endpoint, page_no, payload
 
 
 class PageSource(DataSource):
-    """``spark.read.format("paged_json")``: one task per endpoint and page."""
+    """``spark.read.format("paged_json")``: one task per endpoint and page, or one per endpoint
+    that reads on until a page is missing, where the number of pages is not known."""
 
     @classmethod
     def name(cls) -> str:
@@ -77,8 +86,8 @@ class PageSource(DataSource):
         return PageReader(self.options)
 
 
-def fetch_pages(spark: SparkSession, fetcher: str, pages: Mapping[str, int]) -> DataFrame:
-    """Payload rows of the first ``pages[endpoint]`` pages of every endpoint."""
+def fetch_pages(spark: SparkSession, fetcher: str, pages: Mapping[str, int | None]) -> DataFrame:
+    """Payload rows of the first ``pages[endpoint]`` pages of every endpoint; None: of all."""
     spark.dataSource.register(PageSource)
     return (
         spark.read.format("paged_json")
@@ -96,7 +105,9 @@ def build(spark: SparkSession, source: Source, connections: Connections) -> dict
     if "pages_path" in place:
         pages = spark.read.schema(PAGE_COLUMNS).parquet(place["pages_path"])
     elif "fetcher" in place:
-        counts = {e["name"]: int(e.get("max_pages", 1)) for e in endpoints}
+        counts = {
+            e["name"]: None if e.get("max_pages") is None else int(e["max_pages"]) for e in endpoints
+        }
         pages = fetch_pages(spark, place["fetcher"], counts)
     else:
         raise ValueError(

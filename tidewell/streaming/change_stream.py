@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewell.operators import changes
+from tidewell.sinks import storage
 from tidewell.sinks.dataset import Dataset
 from tidewell.sources.changelog import LogConfig, shape, snapshots
 
@@ -65,6 +66,8 @@ def sync_changes(
     Snapshot rows carry position 0, so changes that were logged while the copy was taken win
     over it, and a snapshot that is repeated after a failure never overwrites a change.
     """
+    if config.reset:  # the log is read anew as well, from a checkpoint that knows nothing
+        storage.remove(spark, checkpoint)
     for table, copy in snapshots(spark, config).items():
         if config.reset or target.head(table) is None:
             rows = shape(copy, table, list(key), config)
