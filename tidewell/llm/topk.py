@@ -13,9 +13,9 @@ from tidewell.llm.common import stage
 SCALE = 1024
 # Vectors of one index, and queries that a task answers from it.
 SHARD, QUERY_BLOCK = 16_384, 4_096
-LEVELS = 8
+LEVELS = 16
 # Segments read between two tests of whether the result is proven.
-STRIDE = 64
+STRIDE = 128
 
 
 def usable(vector: Column) -> Column:
@@ -71,21 +71,19 @@ class ImpactIndex:
         low, high = values.min(0), values.max(0)
         step = np.maximum(1, -(-(high - low + 1) // levels))
         level = (values - low) // step
-        self.order = np.argsort(level, axis=0, kind="stable").astype(np.int32)
-        sorted_level = np.take_along_axis(level, self.order, 0)
-        self.starts = np.stack(
-            [np.searchsorted(sorted_level[:, d], np.arange(levels + 1)) for d in range(width)]
-        )
+        self.order = [np.argsort(level[:, d], kind="stable") for d in range(width)]
+        self.starts = [
+            np.searchsorted(level[self.order[d], d], np.arange(levels + 1)).tolist() for d in range(width)
+        ]
         self.least = np.full((width, levels), 0, np.int64)
         self.most = np.full((width, levels), 0, np.int64)
         for d in range(width):
             for v in range(levels):
-                a, b = self.starts[d, v], self.starts[d, v + 1]
+                a, b = self.starts[d][v], self.starts[d][v + 1]
                 if b > a:
-                    part = values[self.order[a:b, d], d]
+                    part = values[self.order[d][a:b], d]
                     self.least[d, v], self.most[d, v] = part.min(), part.max()
-        self.full = np.diff(self.starts, axis=1) > 0
-        self.met = np.zeros((width, n))
+        self.full = np.diff(np.array(self.starts), axis=1) > 0
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best, the query's own id left out."""
@@ -104,22 +102,19 @@ class ImpactIndex:
         waiting = [[] for _ in range(width)]
         for s in segments[::-1]:
             waiting[s // levels].append(int(gain.flat[s]))
-        least, most = np.zeros(n, np.int64), np.zeros(n, np.int64)  # above the floors, of what is read
-        self.met.fill(0.0)
+        # In a dimension, a vector that was met gains no more than its segment's width on top of
+        # what it was given, and one that was not, no more than the next segment still brings.
+        spread = np.where(self.full, upper - lower, 0).max(1)
+        least = np.zeros(n, np.int64)  # above the floors, of what is read
         for at in range(0, len(segments), STRIDE):
-            for s in segments[at : at + STRIDE]:
-                d, v = divmod(int(s), levels)
-                rows = self.order[self.starts[d, v] : self.starts[d, v + 1], d]
-                least[rows] += sure[d, v]
-                most[rows] += gain[d, v]
-                self.met[d, rows] = 1.0
+            for s in segments[at : at + STRIDE].tolist():
+                d, v = divmod(s, levels)
+                least[self.order[d][self.starts[d][v] : self.starts[d][v + 1]]] += sure[d, v]
                 waiting[d].pop()
-            # a dimension in which a vector was not met yet gives it no more than its next segment
-            open_gain = np.array([w[-1] if w else 0 for w in waiting], float)
-            bound = most + (open_gain.sum() - open_gain @ self.met)
+            still = np.maximum(spread, [w[-1] if w else 0 for w in waiting]).sum()
             proven = np.partition(np.where(own, -1, least), n - want)[n - want]
-            members = np.flatnonzero((bound >= proven) & ~own)
-            if len(members) <= max(4 * k, n // 64):
+            members = np.flatnonzero((least + still >= proven) & ~own)
+            if len(members) <= max(4 * k, n // 4):
                 break
         exact = self.values[members] @ query
         order = np.lexsort((self.ids[members], -exact))[:want]
