@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,8 @@ from tidewell.operators.incremental import cursor_literal
 CHUNK_SCHEMA = "chunk_id bigint, chunk_start timestamp_ntz, chunk_end timestamp_ntz"
 MAX_CHUNKS = 1_000_000
 
+Range = tuple[datetime, datetime]
+
 
 def chunk_bounds(start: datetime, end: datetime, size: str) -> list[tuple[datetime, datetime]]:
     """Half-open chunks over ``[start, end)``, the last one clipped at ``end``.
@@ -79,6 +83,36 @@ def backfill_counts(
     return chunks.join(counts, "chunk_id", "left").fillna(0, ["n_rows"])
 
 
+def uncovered(chunk: Range, done: Sequence[Range]) -> list[Range]:
+    """The parts of a half-open chunk that none of the ``done`` ranges covers; these are half-open,
+    sorted and apart from each other."""
+    lower, upper = chunk
+    parts: list[Range] = []
+    for k in range(bisect_right(done, lower, key=lambda r: r[1]), len(done)):
+        start, end = done[k]
+        if start >= upper:
+            break
+        if start > lower:
+            parts.append((lower, start))
+        lower = max(lower, end)
+    return [*parts, (lower, upper)] if lower < upper else parts
+
+
 def pending_chunks(chunks: DataFrame, done: DataFrame) -> DataFrame:
-    """Chunks that no finished load covers yet."""
-    return chunks.join(done.select("chunk_start", "chunk_end"), ["chunk_start", "chunk_end"], "left_anti")
+    """What of the chunks no finished load covers yet, whatever bounds and chunk size it had.
+
+    A chunk that is covered in part leaves one row, with its ``chunk_id``, per remaining part.
+    Bounds meet on the driver: at most ``MAX_CHUNKS`` chunks, and one range per finished load.
+    """
+    ranges: list[Range] = []
+    for start, end in sorted(tuple(r) for r in done.select("chunk_start", "chunk_end").collect()):
+        if ranges and start <= ranges[-1][1]:
+            ranges[-1] = (ranges[-1][0], max(end, ranges[-1][1]))
+        else:
+            ranges.append((start, end))
+    parts = [
+        (number, *part)
+        for number, lower, upper in chunks.select("chunk_id", "chunk_start", "chunk_end").collect()
+        for part in uncovered((lower, upper), ranges)
+    ]
+    return chunks.sparkSession.createDataFrame(parts, CHUNK_SCHEMA)

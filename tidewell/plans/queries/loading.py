@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -258,6 +259,25 @@ def backfill_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return second.select("chunk_start", "chunk_end", "n_rows", F.lit(complete).alias("is_complete"))
 
 
+@query("""
+    SELECT * FROM orders
+    WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '2001-03-01'
+""")
+def backfill_overlap_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appending backfills whose bounds and chunk sizes cross, the last one over a gap: every
+    order lands once."""
+    folder, root = new_scratch(spark, "overlap-in"), new_scratch(spark, "overlap-out")
+    table(spark, sf_dir, "orders").write.parquet(folder)
+    for size, start, end in (
+        ("P1Y", (1995, 1), (1997, 1)), ("P1Y", (1998, 1), (1999, 1)), ("P7M", (1996, 6), (2001, 3)),
+    ):
+        spec = _orders_spec(folder, backfill={"chunk_size": size})
+        spec = replace(spec, options=replace(spec.options, write_disposition="append"))
+        bounds = (datetime(*month, 1, tzinfo=timezone.utc) for month in (start, end))
+        runner.run_backfill(spark, spec, *bounds, root)
+    return Dataset(spark, root, "raw_orders").read("orders")
+
+
 @query("""
     SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
         CASE WHEN o_orderdate >= DATE '1998-01-01' THEN o_orderpriority END AS o_orderpriority

@@ -30,7 +30,7 @@ from tidewell.operators.quality import (
 )
 from tidewell.session import use_utc
 from tidewell.sinks import storage
-from tidewell.sinks.dataset import Dataset, total_order
+from tidewell.sinks.dataset import Dataset, masked_error, total_order
 from tidewell.sinks.jdbc import JdbcTarget
 from tidewell.sources import changelog, registry
 from tidewell.sources.registry import Connections
@@ -161,10 +161,25 @@ def run(
     spark: SparkSession, spec: PipelineSpec, root: str, connections: Connections | None = None,
     limit: int | None = None, parallel: int = 4,
 ) -> DataFrame:
-    """Load every table of the spec once; returns the audit rows of this run."""
+    """Load every table of the spec once; returns the audit rows of this run.
+
+    A failure is recorded beside the audit rows, with credentials masked, and raised.
+    """
     use_utc(spark)
     connections = connections or {}
     target = target_of(spark, spec, root, connections)
+    try:
+        return _run(spark, spec, target, connections, limit, parallel)
+    except Exception as error:
+        audit = target.audit if isinstance(target, JdbcTarget) else target
+        audit.record_failure("_", spec.name, repr(error))
+        raise
+
+
+def _run(
+    spark: SparkSession, spec: PipelineSpec, target: Dataset | JdbcTarget,
+    connections: Connections, limit: int | None, parallel: int,
+) -> DataFrame:
     tables = registry.build(spark, spec.source, connections)
     if spec.sync.mode == "cdc":
         done = _load_changes(spark, spec, target, connections, tables)
@@ -237,7 +252,8 @@ def run_backfill(
     spark: SparkSession, spec: PipelineSpec, start: datetime, end: datetime, root: str,
     connections: Connections | None = None,
 ) -> DataFrame:
-    """Load ``[start, end)`` chunk by chunk; chunks that an earlier run finished are skipped.
+    """Load ``[start, end)`` chunk by chunk; what earlier runs finished is left out, even where
+    they had other bounds or another chunk size.
 
     The stored cursor is left alone, and so is any lag. Bounds must name their time zone.
     """
@@ -267,7 +283,7 @@ def run_backfill(
     done: list[dict[str, Any]] = []
     for table, df in tables.items():
         todo = backfill.pending_chunks(all_chunks, target.done_chunks(table))
-        for chunk in todo.orderBy("chunk_id").collect():
+        for chunk in todo.orderBy("chunk_start").collect():
             part = bounded_range(df, cursor, chunk.chunk_start, chunk.chunk_end)
             done += _store(
                 target, table, part, spec, cursor, move_cursor=False,
@@ -291,18 +307,14 @@ def run_fleet(
             total = loads.agg(F.sum("n_rows").alias("n")).first()["n"] or 0
             return name, "ok", int(total), None
         except Exception as error:  # noqa: BLE001 - any failure becomes a status row
-            summary = repr(error)[:500]
-            try:
-                spec = PipelineSpec.from_dict(raw)
-                if spec.destination.type in PARQUET_DESTINATIONS:
-                    Dataset(spark, root, spec.destination.dataset).record_failure("_", name, summary)
-            except ValueError:
-                pass
-            return name, "failed", 0, summary
+            return name, "failed", 0, repr(error)
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         rows = list(pool.map(attempt, specs))
-    return spark.createDataFrame(rows, "pipeline string, status string, n_rows bigint, error string")
+    statuses = spark.createDataFrame(
+        rows, "pipeline string, status string, n_rows bigint, error string"
+    )
+    return statuses.withColumn("error", masked_error(F.col("error")))
 
 
 def delete_pipeline(

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.functions.scrub import scrub
 from tidewell.operators import contracts
 from tidewell.operators.changes import LSN, apply_changes, live_rows, target_rows
 from tidewell.operators.merge import as_key, dedup_latest, merge_upsert, replace_children
@@ -36,6 +37,7 @@ BUCKET = "_bucket"
 # The disposition of a commit that only forgets the cursor; no folder belongs to it.
 RESET = "reset"
 DEFAULT_BUCKETS = 8
+ERROR_CHARS = 500
 # What a load reports that wrote nothing.
 NO_ROWS = {
     "n_rows": 0, "null_keys": 0, "null_cursors": 0, "min_cursor": None, "max_cursor": None,
@@ -106,6 +108,11 @@ def total_order(df: DataFrame, first: Sequence[str]) -> list[str]:
     return list(dict.fromkeys([*first, *rest]))
 
 
+def masked_error(text: Column) -> Column:
+    """An error's text for a status row: credentials are masked first, then it is cut to size."""
+    return F.substring(scrub(text), 1, ERROR_CHARS)
+
+
 class Dataset:
     """The tables of one target dataset."""
 
@@ -460,7 +467,8 @@ class Dataset:
         row = {"load_id": uuid.uuid4().hex, "pipeline": pipeline, "status": "failed",
                "error": error, "started_at": now, "finished_at": now}
         target = f"{self.path}/_failed/table_name={table}/seq=0"
-        self._record(row).write.mode("append").parquet(target)
+        failed = self._record(row).withColumn("error", masked_error(F.col("error")))
+        failed.write.mode("append").parquet(target)
 
     # -- removal ---------------------------------------------------------------------
 

@@ -29,7 +29,7 @@ def read_log(
 def apply_stream(
     log: DataFrame, target: Dataset, tables: Sequence[str], key: Sequence[str], checkpoint: str,
     *, config: LogConfig | None = None, delete_mode: str = "soft", pipeline: str = "",
-    continuous: bool = False, interval: str = "1 minute",
+    contract: str = "evolve", continuous: bool = False, interval: str = "1 minute",
 ) -> StreamingQuery:
     """Apply a change stream to its tables.
 
@@ -46,7 +46,9 @@ def apply_stream(
         try:
             for table, part in changes.demux(batch, tables).items():
                 part = shape(part, table, list(key), config) if config else part
-                target.apply(table, part, key, delete_mode=delete_mode, pipeline=pipeline)
+                target.apply(
+                    table, part, key, contract=contract, delete_mode=delete_mode, pipeline=pipeline
+                )
         finally:
             if shared:
                 batch.unpersist()
@@ -59,7 +61,7 @@ def apply_stream(
 def sync_changes(
     spark: SparkSession, log_path: str, schema: T.StructType, target: Dataset, config: LogConfig,
     key: Sequence[str], checkpoint: str, *, files_per_batch: int | None = None,
-    delete_mode: str = "soft", pipeline: str = "",
+    delete_mode: str = "soft", pipeline: str = "", contract: str = "evolve",
 ) -> None:
     """Snapshot on the first run, then the stream behind it; returns when drained.
 
@@ -72,12 +74,13 @@ def sync_changes(
         if config.reset or target.head(table) is None:
             rows = shape(copy, table, list(key), config)
             target.apply(
-                table, rows, key, delete_mode=delete_mode, pipeline=pipeline, reset=config.reset
+                table, rows, key, contract=contract, delete_mode=delete_mode, pipeline=pipeline,
+                reset=config.reset,
             )
     log = read_log(spark, log_path, schema, files_per_batch)
     query = apply_stream(
         log, target, config.tables, key, checkpoint, config=config, delete_mode=delete_mode,
-        pipeline=pipeline,
+        pipeline=pipeline, contract=contract,
     )
     query.awaitTermination()
 
