@@ -254,6 +254,30 @@ def test_near_duplicates(docs, rows, none, block, monkeypatch):
         assert jaccard.near_duplicates(none).count() == 0
 
 
+def test_chains_of_near_duplicates(spark, monkeypatch):
+    """Texts that drift: neighbours link, the ends share nothing; some links are only found block by block."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 700)
+    compared, plain = spark.sparkContext.accumulator(0), jaccard._compare
+
+    def counted(table):
+        asks = table.column("asks").to_pylist()
+        compared.add(1)
+        assert sum(asks) <= 16 and len(asks) - sum(asks) <= 16  # dealt by hash: about 4 of each
+        return plain(table)
+
+    monkeypatch.setattr(jaccard, "_compare", counted)
+    pick = random.Random(11)
+    words = [f"w{pick.randrange(10**6)}" for _ in range(900)]
+    rows = [(k, " ".join(words[12 * k : 12 * k + 200])) for k in range(50)]
+    rows += [(100 + k, " ".join(words[9 * k : 9 * k + 150] + [f"x{k}"] * 60)) for k in range(20)]
+    pick.shuffle(rows)
+    want, _ = _brute_components(rows)
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+    assert compared.value > 1
+
+
 def test_url_rules(spark):
     urls = ["http://a.example.com/en/x", "http://WWW.example.com/en/", "https://m.www.example.com/en/1?q#f", "http://com/", "http://com", "http://x.net/es/1",
             "http://net/fr/", "http://xnet/fr/", "http://a.net/de/", None, "", "no scheme", "http://", "http://example.com?/en/", "http://example.org/en/", "x://a.b.com-x/", "http://com-x.com/a\nb"]

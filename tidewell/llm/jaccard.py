@@ -9,7 +9,8 @@
    sizes allow the similarity, are candidates. They are held together as clusters, by one edge
    per n-gram and group, never as all pairs.
 4. In each cluster all groups are first verified against the centres of their n-grams. Members that
-   are not linked to the cluster's main component by then are compared with every block of members.
+   are not linked to the cluster's main component by then are compared, in blocks of their own,
+   with every block of members.
 5. Components of the verified links, expanded to all documents.
 """
 
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,7 +34,8 @@ NUMERATOR, DENOMINATOR = 80, 100
 CHUNK = 1 << 20
 FLUSH = 1_500_000  # entries a task holds before it sends them
 BUCKET_BYTES = 4 << 20  # text per bucket of n-grams
-BLOCK = 2_048  # members of a cluster that one task holds
+BLOCK = 1_024  # members of a cluster, and as many that ask, which one task holds about
+BLOCK_GRAMS = 1 << 20  # and n-grams of either
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 FOLDED = BYTES.copy()
@@ -232,7 +234,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """Links of a cluster's probes with one block of its members, one for each of their components."""
+    """Links of one block of a cluster's probes with one of its members, one for each of their components."""
     kinds = {"a": pa.int64(), "b": pa.int64()}
     asks = table.column("asks")
     probes, members = table.filter(asks), table.filter(pc.invert(asks))
@@ -329,29 +331,46 @@ def _classes(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFra
         .join(sets, "digest"),
         "jaccard-members",
     )
-    mass = members.groupBy("cluster", "root").agg(F.count("*").alias("m"))
+    mass = members.groupBy("cluster", "root").agg(F.count("*").alias("m"), F.sum("n").alias("grams"))
     main = mass.groupBy("cluster").agg(
-        F.max_by("root", F.struct("m", "root")).alias("main"),
+        F.max_by(F.struct("root", "m", "grams"), F.struct("m", "root")).alias("main"),
         F.sum("m").alias("all"),
-        F.max("m").alias("most"),
+        F.sum("grams").alias("grams"),
     )
+
+    def blocks_of(members: Column, grams: Column) -> Column:
+        return F.ceil(F.greatest(members / BLOCK, grams / BLOCK_GRAMS)).cast("int")
+
     # nothing is open in a cluster that is one component
     open_clusters = stage(
-        main.filter(F.col("most") < F.col("all")).select(
-            "cluster", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")
+        main.filter(F.col("main.m") < F.col("all")).select(
+            "cluster",
+            F.col("main.root").alias("main"),
+            blocks_of(F.col("all"), F.col("grams")).alias("blocks"),
+            blocks_of(F.col("all") - F.col("main.m"), F.col("grams") - F.col("main.grams")).alias("sides"),
         ),
         "jaccard-open",
     )
     facing = members.join(open_clusters, "cluster")
-    blocks = facing.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    probes = facing.filter(F.col("root") != F.col("main")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+
+    def dealt(over: str) -> Column:
+        return F.pmod(F.xxhash64("digest"), F.col(over)).cast("int")
+
+    def every(over: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(over) - 1))
+
+    # a block of members meets a block of probes in one task
+    blocks = facing.withColumn("block", dealt("blocks")).withColumn("side", every("sides"))
+    probes = (
+        facing.filter(F.col("root") != F.col("main"))
+        .withColumn("side", dealt("sides"))
+        .withColumn("block", every("blocks"))
     )
-    columns = ("cluster", "block", "digest", "n", "root", "grams")
+    columns = ("cluster", "block", "side", "digest", "n", "root", "grams")
     second = (
         probes.select(*columns, F.lit(True).alias("asks"))
         .unionByName(blocks.select(*columns, F.lit(False).alias("asks")))
-        .groupBy("cluster", "block")
+        .groupBy("cluster", "block", "side")
         .applyInArrow(_compare, "a long, b long")
     )
     roots = components(first.unionByName(second), "jaccard-components")
