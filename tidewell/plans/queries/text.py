@@ -56,14 +56,25 @@ def scrub_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     SELECT c_custkey, c_name, regexp_matches(c_name, '^[a-z][a-z0-9_]*$') AS name_ok,
         regexp_matches(lower(c_mktsegment), '^[a-z][a-z0-9_]*$') AS segment_ok,
-        regexp_replace(lower(c_name), '[^a-z0-9_]+', '_', 'g') AS normalized
+        regexp_replace(lower(c_name), '[^a-z0-9_]+', '_', 'g') AS normalized,
+        c_custkey % 5 = 0 AS proposal_ok
     FROM customer
 """)
 def identifier_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names as they are, and proposals of which every fifth is an identifier."""
+    key = F.col("c_custkey").cast("string")
+    proposal = F.element_at(
+        F.array(
+            F.concat(F.lit("c_"), key), F.concat(key, F.lit("_c")), F.concat(F.lit("c-"), key),
+            F.concat(F.lit("c"), key, F.lit("\n")), F.concat(F.lit("_"), key),
+        ),
+        (F.col("c_custkey") % 5 + 1).cast("int"),
+    )
     return table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", scalars.is_identifier(F.col("c_name")).alias("name_ok"),
         scalars.is_identifier(F.lower("c_mktsegment")).alias("segment_ok"),
         scalars.normalize_identifier(F.col("c_name")).alias("normalized"),
+        scalars.is_identifier(proposal).alias("proposal_ok"),
     )
 
 
