@@ -154,6 +154,24 @@ def test_lexicon_automaton():
         assert automaton.weight(word) == pytest.approx(weight), word
 
 
+def test_misspelled_stems_and_short_terms():
+    automaton = toxicity.LexiconAutomaton({"réeuxa*": 1.0, "réeuxabc": 0.5, "vequ*": 0.6, "scum": 0.9, "as": 0.3})
+    for word, weight in {"réeuxan": 1.0, "reeuxan": 0.8, "réuexan": 0.8, "réexan": 0.8, "réeeuxan": 0.8, "rzzuxan": 0.0,
+                         "réeux": 0.0, "réeuxon": 0.0, "réeuxbc": 0.4, "réeuxabd": 1.0, "vveque": 0.48, "evque": 0.48,
+                         "vaque": 0.0, "scumm": 0.72, "sccum": 0.72, "csum": 0.72, "scums": 0.0, "sum": 0.0, "sa": 0.24}.items():
+        assert automaton.weight(word) == pytest.approx(weight), word
+
+
+def test_words_covered_by_a_stem_stay_terms(spark):
+    words = ["vequabc", "vequxyz", "vequmno", "vequrst"]
+    rows = [(f"plain text {words[k % 4]} here", 1) for k in range(40)] + [("plain text without here", 0)] * 400
+    rows += [("plain text vequxya here", 0)] * 4
+    terms, known = toxicity._learn_terms(spark.createDataFrame(rows, "text string, toxic int"))
+    assert {*words} <= set(terms) and known == {"vequxya"}
+    automaton = toxicity.LexiconAutomaton(terms, known)
+    assert automaton.weight("vaquabc") > 0 and automaton.weight("vequxya") == terms.get("vequ*", 0.0)
+
+
 def test_quotation_weighs_less():
     model = toxicity.Model({"moron": 1.0})
     abuse = model.features("you are a moron and you know it")

@@ -22,6 +22,10 @@ STEM = (4, 8)
 # A term must be at least this much likelier in toxic documents.
 LIFT = 20.0
 FUZZY_LENGTH = 5
+# The edit spent in a state: none, any, any on the very last letter, or one that short terms admit too.
+EXACT, ANY, LAST, NARROW = 0, 1, 2, 3
+# Held instead of a letter: a stem is complete.
+STEM_DONE = "*"
 WINDOW = 8
 FEATURES = ("abuse", "quoted", "density")
 
@@ -37,88 +41,105 @@ SIGNS = '"“”„«»'
 class LexiconAutomaton:
     """The Levenshtein automata of all terms at once, run along their trie.
 
-    A state is a set of (trie node, edits). Terms that end in ``*`` are stems: they accept any
-    longer word. A term of FUZZY_LENGTH letters or more also matches with one letter added, left
-    out, changed, or swapped with the next; shorter ones and stems match exactly. States and moves are
-    worked out when first met and kept, so a word costs one lookup per letter, and stops at
-    the first letter that leads nowhere.
+    A state is a set of (trie node, edits, held letter). Terms that end in ``*`` are stems: they
+    accept any longer word. A term or stem of FUZZY_LENGTH letters or more also matches with one
+    letter added, left out, changed, or swapped with the next; a shorter one with one letter
+    doubled or swapped with the next, as any other edit makes it another word. A stem's last letter
+    is neither left out nor changed: that would be the stem one letter shorter, which is a
+    candidate of its own when terms are learned. States and moves are worked out when first met and kept, so a word costs
+    one lookup per letter, and stops at the first letter that leads nowhere. Words in ``known``
+    are words of their own and misspell nothing.
     """
 
-    def __init__(self, weights: dict[str, float]) -> None:
+    def __init__(self, weights: dict[str, float], known: frozenset[str] = frozenset()) -> None:
+        self.known = known
         self.next: list[dict[str, int]] = [{}]
-        self.ends: list[tuple[float, bool] | None] = [None]  # weight, is a stem
-        self.fuzzy: list[bool] = [False]  # whether some long whole word lies below
+        self.letter = [""]  # that leads to the node
+        self.fuzzy = [False]  # whether some long term lies below
+        self.words: dict[int, float] = {}
+        self.stems: dict[int, float] = {}
+        self.long: set[int] = set()  # nodes at which a long term ends
         for term, weight in weights.items():
-            stem, text, node = term.endswith("*"), term.rstrip("*"), 0
-            long = not stem and len(text) >= FUZZY_LENGTH
+            text, node = term.rstrip("*"), 0
+            long = len(text) >= FUZZY_LENGTH
             for letter in text:
                 self.fuzzy[node] |= long
                 if letter not in self.next[node]:
                     self.next[node][letter] = len(self.next)
                     self.next.append({})
-                    self.ends.append(None)
+                    self.letter.append(letter)
                     self.fuzzy.append(False)
                 node = self.next[node][letter]
             self.fuzzy[node] |= long
-            if self.ends[node] is None or self.ends[node][1] < stem:
-                self.ends[node] = (weight, stem)
-        self.fuzzy_end = [False] * len(self.next)
-        for term in weights:
-            if not term.endswith("*") and len(term) >= FUZZY_LENGTH:
-                node = 0
-                for letter in term:
-                    node = self.next[node][letter]
-                self.fuzzy_end[node] = True
+            if long:
+                self.long.add(node)
+            ends = self.stems if term.endswith("*") else self.words
+            ends[node] = max(weight, ends.get(node, 0.0))
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.values: list[float] = []
-        self.start = self._state(self._closed({(0, 0, "")}))
+        self.exact: list[float] = []  # the values without edits
+        self.start = self._state(self._closed({(0, EXACT, "")}))
 
     def _closed(self, items: set) -> frozenset:
-        """Add what leaving out a letter of the term reaches."""
+        """Add what leaving out a letter of the term reaches, and the stems that are complete."""
         out = set(items)
         for node, edits, held in items:
-            if edits == 0 and not held and self.fuzzy[node]:
-                out |= {(child, 1, "") for child in self.next[node].values() if self.fuzzy[child]}
+            if edits == EXACT and not held and self.fuzzy[node]:
+                out |= {(child, LAST, "") for child in self.next[node].values() if self.fuzzy[child]}
+        for node, edits, held in list(out):
+            if not held and node in self.stems and self._admits(node, edits) and edits != LAST:
+                out.add((node, edits, STEM_DONE))
         return frozenset(out)
 
+    def _admits(self, node: int, edits: int) -> bool:
+        return edits in (EXACT, NARROW) or node in self.long
+
     def _state(self, items: frozenset) -> int:
         if items not in self.states:
             self.states[items] = len(self.sets)
             self.sets.append(items)
             self.moves.append({})
-            value = 0.0
+            value = exact = 0.0
             for node, edits, held in items:
-                end = self.ends[node]
-                if end and not held and (edits == 0 or (self.fuzzy_end[node] and not end[1])):
-                    value = max(value, end[0] * (1.0 if edits == 0 else 0.8))
+                if held == STEM_DONE:
+                    end = self.stems[node]
+                elif not held and self._admits(node, edits):
+                    end = self.words.get(node, 0.0)
+                else:
+                    continue
+                value = max(value, end * (1.0 if edits == EXACT else 0.8))
+                exact = max(exact, end if edits == EXACT else 0.0)
             self.values.append(value)
+            self.exact.append(exact)
         return self.states[items]
 
     def _move(self, state: int, letter: str) -> int:
-        """The state behind a letter; -1 if nowhere, -2 - n if a stem of state n is complete."""
+        """The state behind a letter; -1 if nowhere."""
         out = set()
         for node, edits, held in self.sets[state]:
+            if held == STEM_DONE:
+                out.add((node, edits, held))
+                continue
+            below = self.next[node]
             if held:  # two swapped letters: the term's first one must come now
-                mid = self.next[node].get(letter)
-                if mid is not None and held in self.next[mid] and self.fuzzy[self.next[mid][held]]:
-                    out.add((self.next[mid][held], 1, ""))
+                if letter in below and held in self.next[below[letter]]:
+                    out.add((self.next[below[letter]][held], NARROW, ""))
                 continue
-            child = self.next[node].get(letter)
-            if child is not None and (edits == 0 or self.fuzzy[child]):
-                out.add((child, edits, ""))
-            if edits == 0 and self.fuzzy[node]:
-                out.add((node, 1, ""))
-                out |= {(c, 1, "") for x, c in self.next[node].items() if x != letter and self.fuzzy[c]}
-                out.add((node, 1, letter))
-        if not out:
-            return -1
-        number = self._state(self._closed(out))
-        for node, edits, held in self.sets[number]:
-            if edits == 0 and not held and self.ends[node] and self.ends[node][1]:
-                return -2 - number
-        return number
+            child = below.get(letter)
+            if child is not None and (edits in (EXACT, NARROW) or self.fuzzy[child]):
+                out.add((child, ANY if edits == LAST else edits, ""))
+            if edits != EXACT:
+                continue
+            if self.fuzzy[node]:
+                out.add((node, ANY, ""))
+                out |= {(c, LAST, "") for x, c in below.items() if x != letter and self.fuzzy[c]}
+            if letter == self.letter[node]:
+                out.add((node, NARROW, ""))
+            if any(letter in self.next[c] for x, c in below.items() if x != letter):
+                out.add((node, NARROW, letter))
+        return self._state(self._closed(out)) if out else -1
 
     def weight(self, word: str) -> float:
         """The weight of the term that the word spells or misspells; 0 if none."""
@@ -130,9 +151,9 @@ class LexiconAutomaton:
                 number = moves[letter] = self._move(state, letter)
             if number == -1:
                 return 0.0
-            if number < -1:
-                return self.values[-2 - number]
             state = number
+        if self.values[state] and word in self.known:
+            return self.exact[state]
         return self.values[state]
 
 
@@ -142,6 +163,7 @@ class Model:
     bias: float = -4.0
     weights: list[float] = field(default_factory=lambda: [3.0, 0.0, 0.0])
     automaton: LexiconAutomaton | None = None
+    known: frozenset[str] = frozenset()
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """Weights of hits in abuse and in quotation, and of all hits for each hundred words.
@@ -150,7 +172,7 @@ class Model:
         quotation signs, half if a word of reporting is near.
         """
         if self.automaton is None:
-            self.automaton = LexiconAutomaton(self.terms)
+            self.automaton = LexiconAutomaton(self.terms, self.known)
         if not text:
             return 0.0, 0.0, 0.0
         low = text.lower()
@@ -214,7 +236,9 @@ def _candidates(text: str | None) -> set[str]:
     return out
 
 
-def _learn_terms(rows: DataFrame) -> dict[str, float]:
+def _learn_terms(rows: DataFrame) -> tuple[dict[str, float], frozenset[str]]:
+    """Weights of terms, and the words like them that the clean rows use as words of their own."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[Counter] = [Counter(), Counter()]
         for batch in batches:
@@ -233,13 +257,14 @@ def _learn_terms(rows: DataFrame) -> dict[str, float]:
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1:
-        return {}
+        return {}, frozenset()
     counted = (
         rows.select("text", F.col("toxic").cast("int").alias("toxic"))
         .repartition(16)
         .mapInArrow(count, "term string, toxic long, clean long")
         .groupBy("term")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        .cache()
     )
     lift = ((F.col("toxic") + 0.5) / (n1 + 1)) / ((F.col("clean") + 0.5) / (n0 + 1))
     best = (
@@ -250,24 +275,39 @@ def _learn_terms(rows: DataFrame) -> dict[str, float]:
         .limit(MAX_TERMS)
         .collect()
     )
-    # a stem that covers a word or a longer stem as well as these do makes them superfluous
+    # a stem that covers a longer stem, misspelled ones too, makes it superfluous; words stay, as
+    # they may be misspelled in ways that leave no such stem
     weights: dict[str, float] = {}
     for row in sorted(best, key=lambda r: (-r["toxic"], len(r["term"]), r["term"])):
         term = row["term"]
         text = term.rstrip("*")
-        if any(text.startswith(t[:-1]) for t in weights if t.endswith("*")):
+        if term.endswith("*") and any(
+            text.startswith(t[:-1]) and (len(t) > FUZZY_LENGTH or len(text) < FUZZY_LENGTH)
+            for t in weights
+            if t.endswith("*")
+        ):
             continue
         weights[term] = float(np.log(row["lift"]))
-    # a word that is all there is to its own stem is kept as the word, so that it may be misspelled
+    # a word that is all there is to its own stem stands for it
     words = {r["term"]: r for r in best if not r["term"].endswith("*")}
     for stem in [t for t in weights if t.endswith("*")]:
         row = next(r for r in best if r["term"] == stem)
         alone = [w for w, r in words.items() if w.startswith(stem[:-1]) and r["toxic"] >= 0.9 * row["toxic"]]
         if alone:
             weight = weights.pop(stem)
-            weights.update({w: weight for w in alone})
+            weights.update({w: max(weight, weights[w]) for w in alone})
     top = max(weights.values(), default=1.0)
-    return {t: w / top for t, w in weights.items()}
+    terms = {t: w / top for t, w in weights.items()}
+
+    def like_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = LexiconAutomaton(terms)
+        for batch in batches:
+            yield batch[[automaton.weight(t) > 0 for t in batch["term"]]]
+
+    own = counted.filter(~F.col("term").endswith("*") & (F.col("clean") >= MIN_DOCS) & (lift < LIFT)).select("term")
+    known = frozenset(r["term"] for r in own.mapInPandas(like_terms, "term string").collect())
+    counted.unpersist()
+    return terms, known
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Model:
@@ -277,7 +317,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     """
     rows = sample(docs, labels, id_column, text_column).cache()
     try:
-        model = Model(_learn_terms(rows))
+        terms, known = _learn_terms(rows)
+        model = Model(terms, known=known)
         table = features(rows, model, "toxic").toPandas()  # numbers only, MAX_FIT_ROWS at most
     finally:
         rows.unpersist()
@@ -302,7 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
 
 
 def features(rows: DataFrame, model: Model, *keep: str) -> DataFrame:
-    plain = Model(model.terms, model.bias, model.weights)
+    plain = Model(model.terms, model.bias, model.weights, known=model.known)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -318,7 +359,7 @@ def features(rows: DataFrame, model: Model, *keep: str) -> DataFrame:
 
 def score_column(model: Model, text: Column) -> Column:
     """The score of a text, 0 to 1, as a column; null and empty texts get the score of no hit."""
-    plain = Model(model.terms, model.bias, model.weights)
+    plain = Model(model.terms, model.bias, model.weights, known=model.known)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
