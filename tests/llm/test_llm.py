@@ -172,6 +172,13 @@ def test_words_covered_by_a_stem_stay_terms(spark):
     assert automaton.weight("vaquabc") > 0 and automaton.weight("vequxya") == terms.get("vequ*", 0.0)
 
 
+def test_rare_terms_stay_beside_many_frequent_ones(spark):
+    words = [f"{a}{b}zzqqxxyy" for a in "abcdefghij" for b in "klmnopqrst"]
+    rows = [(w, 1) for w in words for _ in range(5)] + [("rareword", 1)] * 4 + [("plain", 0)] * 2000
+    terms, _ = toxicity._learn_terms(spark.createDataFrame(rows, "text string, toxic int"))
+    assert {*words, "rareword"} <= set(terms)
+
+
 def test_quotation_weighs_less():
     model = toxicity.Model({"moron": 1.0})
     abuse = model.features("you are a moron and you know it")

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FOLDS = 5
-# Bounds of the labelled sample that the lexicon and the weights are fitted on, and of the lexicon.
+# Bound of the labelled sample that the lexicon and the weights are fitted on. It bounds the lexicon
+# too: support keeps at most some 300 times the words and stems of an average toxic row.
 MAX_FIT_ROWS = 20_000
-MAX_TERMS = 400
 MIN_DOCS = 4
 STEM = (4, 8)
 # A term must be at least this much likelier in toxic documents.
@@ -271,8 +271,6 @@ def _learn_terms(rows: DataFrame) -> tuple[dict[str, float], frozenset[str]]:
         counted.filter(F.col("toxic") >= max(MIN_DOCS, n1 // 250))
         .withColumn("lift", lift)
         .filter(F.col("lift") >= LIFT)
-        .orderBy(F.desc("toxic"), F.desc(F.length("term")), "term")
-        .limit(MAX_TERMS)
         .collect()
     )
     # a stem that covers a longer stem, misspelled ones too, makes it superfluous; words stay, as
@@ -281,18 +279,18 @@ def _learn_terms(rows: DataFrame) -> tuple[dict[str, float], frozenset[str]]:
     for row in sorted(best, key=lambda r: (-r["toxic"], len(r["term"]), r["term"])):
         term = row["term"]
         text = term.rstrip("*")
-        if term.endswith("*") and any(
-            text.startswith(t[:-1]) and (len(t) > FUZZY_LENGTH or len(text) < FUZZY_LENGTH)
-            for t in weights
-            if t.endswith("*")
-        ):
+        shortest = min(FUZZY_LENGTH, len(text))
+        if term.endswith("*") and any(f"{text[:n]}*" in weights for n in range(shortest, len(text))):
             continue
         weights[term] = float(np.log(row["lift"]))
     # a word that is all there is to its own stem stands for it
-    words = {r["term"]: r for r in best if not r["term"].endswith("*")}
+    support = {r["term"]: r["toxic"] for r in best}
+    below: dict[str, list[str]] = {}
+    for word in (t for t in support if not t.endswith("*")):
+        for n in range(STEM[0], min(STEM[1], len(word)) + 1):
+            below.setdefault(f"{word[:n]}*", []).append(word)
     for stem in [t for t in weights if t.endswith("*")]:
-        row = next(r for r in best if r["term"] == stem)
-        alone = [w for w, r in words.items() if w.startswith(stem[:-1]) and r["toxic"] >= 0.9 * row["toxic"]]
+        alone = [w for w in below.get(stem, ()) if support[w] >= 0.9 * support[stem]]
         if alone:
             weight = weights.pop(stem)
             weights.update({w: max(weight, weights[w]) for w in alone})
