@@ -241,6 +241,25 @@ def test_vantage_point_tree(spark, monkeypatch):
     assert vptree.nearest(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard", [40, 16_384])
+def test_vantage_point_tree_copies(spark, monkeypatch, shard):
+    """Of equally near vectors the smaller ids are found."""
+    monkeypatch.setattr(vptree, "SHARD", shard)
+    pick = np.random.default_rng(3)
+    kinds = [[float(x) for x in pick.normal(size=8)] for _ in range(4)]
+    data = [(int(k), kinds[j % 4]) for j, k in enumerate(pick.permutation(400))]
+    data += [(1000 + k, [float(x) for x in pick.normal(size=8)]) for k in range(100)] + [(40, kinds[0])] * 3
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in vptree.nearest(frame, factor=1.0).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    good = [(i, np.float32(v).astype(float)) for i, v in data]
+    asked = {i: v for i, v in reversed(good) if i % 20 == 0}
+    for i in [i for i in asked if i != 40]:  # 40 has rows of its own that may differ
+        want = sorted((-round(float(asked[i] @ w), 9), j) for j, w in good if j != i)[:20]
+        assert [got[i][k] for k in sorted(got[i])] == [j for _, j in want]
+
+
 def _brute_components(rows):
     sets = []
     for r in rows:

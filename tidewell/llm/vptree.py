@@ -44,7 +44,8 @@ class VantageTree:
         return vantage, radius, self._build(near, random), self._build(far, random)
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the k nearest per query (-1 where there are fewer), and their distances.
+        """Rows of the k nearest per query (-1 where there are fewer), ties to the smaller row, and
+        their distances.
 
         ``own`` (queries by at most a few rows) marks rows a query must not return, as pairs.
         A side of a node is passed over if the triangle inequality puts it, ``factor`` times as
@@ -74,6 +75,11 @@ class VantageTree:
                 all_away = np.concatenate([away[active], found], axis=1)
                 all_rows = np.concatenate([rows[active], np.broadcast_to(node, found.shape)], axis=1)
                 top = np.argpartition(all_away, k - 1, axis=1)[:, :k]
+                last = np.take_along_axis(all_away, top, 1).max(1)
+                more = (all_away <= last[:, None]).sum(1) > k
+                tied = np.flatnonzero(more & np.isfinite(last))
+                if len(tied):  # of equally near rows the smaller ones stay
+                    top[tied] = np.lexsort((all_rows[tied], all_away[tied]))[:, :k]
                 away[active] = np.take_along_axis(all_away, top, 1)
                 rows[active] = np.take_along_axis(all_rows, top, 1)
                 return
@@ -140,17 +146,38 @@ def nearest(
         ids, names = shard.column("id").to_numpy(), asking.column("id").to_numpy()
         values, wanted = (matrix(t.column("values"), width, float) for t in (shard, asking))
         order = np.argsort(ids, kind="stable")
-        first, last = (np.searchsorted(ids[order], names, s) for s in ("left", "right"))
-        own = [(q, order[j]) for q in range(len(names)) for j in range(first[q], last[q])]
-        rows, _ = VantageTree(values).search(wanted, np.array(own, np.int64).reshape(-1, 2), k, factor)
+        ids, values = ids[order], np.ascontiguousarray(values[order] + 0.0)
+        # equal vectors are one entry of the tree, entries in order of their smallest id
+        whole = values.view(np.dtype((np.void, values.itemsize * width))).ravel()
+        _, first, entry = np.unique(whole, return_index=True, return_inverse=True)
+        first, entry = np.sort(first), np.argsort(np.argsort(first))[entry]
+        members = np.argsort(entry, kind="stable")
+        starts = np.searchsorted(entry[members], np.arange(len(first) + 1))
+        sizes = np.diff(starts)
+        low, high = (np.searchsorted(ids, names, s) for s in ("left", "right"))
+        own = []
+        for q in range(len(names)):
+            mine, n = np.unique(entry[low[q] : high[q]], return_counts=True)
+            own += [(q, e) for e in mine[n == sizes[mine]]]
+        rows, _ = VantageTree(values[first]).search(wanted, np.array(own, np.int64).reshape(-1, 2), k, factor)
         q, j = np.nonzero(rows >= 0)
         found = rows[q, j]
-        score = np.einsum("ij,ij->i", wanted[q], values[found])
+        score = np.einsum("ij,ij->i", wanted[q], values[first[found]])
+        # k ids of an entry are enough, beside the query's own
+        take = np.minimum(sizes[found], k + (high - low)[q])
+        step = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+        near = ids[members[np.repeat(starts[found], take) + step]]
+        q, score = np.repeat(q, take), np.repeat(score, take)
+        other = near != names[q]
+        q, near, score = q[other], near[other], score[other]
+        order = np.lexsort((near, -score, q))
+        q, near, score = q[order], near[order], score[order]
+        kept = np.arange(len(q)) - np.searchsorted(q, q) < k
         return pa.table(
             {
-                "query_id": pa.array(names[q], kinds["query_id"]),
-                "vec_id": pa.array(ids[found], kinds["vec_id"]),
-                "score": pa.array(score, kinds["score"]),
+                "query_id": pa.array(names[q[kept]], kinds["query_id"]),
+                "vec_id": pa.array(near[kept], kinds["vec_id"]),
+                "score": pa.array(score[kept], kinds["score"]),
             }
         )
 
