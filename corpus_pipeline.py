@@ -62,7 +62,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("byte_bpe", tokenize),
 ]
 
-# Learned scores, iterated ranks and token merges have no SQL form; tests hold them to plain versions.
+# Learned scores, repeated byte strings and token merges have no SQL form; tests hold them to plain versions.
 ORACLE_SQL: str | None = None
 
 

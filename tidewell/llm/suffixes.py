@@ -1,17 +1,17 @@
-"""Repeated strings: prefix doubling over a sparse, content-defined set of suffixes.
+"""Repeated strings: anchor hashing, in place of prefix doubling over all suffixes.
 
 Every string of LENGTH bytes holds GRAM-byte strings; the one with the least hash is its anchor.
 Equal strings have the same anchor, and an anchor stands for a run of neighbouring strings, about
-39 of them, so only anchors are ranked at first:
+39 of them, so only anchors are compared at first:
 
-1. Anchors are sorted by the rank of their GRAM bytes. Those that occur once are dropped, with all
+1. Anchors are sorted by the hash of their GRAM bytes. Those that occur once are dropped, with all
    strings they stand for.
-2. The others are ranked again by all the bytes of their run. Runs that are equal as a whole hold
+2. The others are sorted again by a hash of all the bytes of their run. Runs that are equal as a whole hold
    the same strings, so all but the earliest are repeated throughout and need no more work.
 3. What is left differs somewhere in its run. These runs are expanded into their strings, which are
-   ranked by pairs of ranks at growing offsets (HALF bytes, then LENGTH), until unique or done.
+   grouped within their bucket by the hashes of their two halves (HALF bytes each).
 
-Sorting is by buckets of the rank, which Spark deals out; entries travel as packed columns.
+Sorting is by buckets of the hash, which Spark deals out; entries travel as packed columns.
 """
 
 from __future__ import annotations
