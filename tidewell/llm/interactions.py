@@ -38,7 +38,7 @@ def failures(
     A null text counts as an empty one, a null part as an empty name. A null id is larger than all
     others, and rows that share an id are no copies of each other. Labels of one id are combined:
     one quality of 1 makes it good, one toxic of 1 toxic; other values and ids without a document
-    count for nothing.
+    count for nothing, and a null id has no labels.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
