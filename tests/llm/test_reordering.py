@@ -29,7 +29,7 @@ def _hash(values, kind):
 
 
 def _entries(text, k=5, s=2):
-    units = [_hash([u.encode()], bytes) for u in re.findall(r"[^\x20\x09-\x0D]{1,8}", text or "")]
+    units = [_hash([u.encode()], bytes) for u in re.findall(r"[!-~\u0080-\u0DFF]{1,8}|[^\x20\x09-\x0D]", text or "")]
     signed = lambda x: x - 2**64 if x >= 2**63 else x
     inner = [signed(_hash(units[i : i + s], int)) for i in range(len(units) - s + 1)]
     entry = lambda run, gap: (_hash(run, int) & (2**29 - 1)) << 2 | gap

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import numbered, stage
 
-# Units: up to eight characters of a word, or one letter of a script that puts no blanks between words.
-NO_BLANKS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-UNIT = rf"[{NO_BLANKS}]|[^\x20\x09-\x0D{NO_BLANKS}]{{1,8}}"
+# Units: up to eight characters of a word, or one of a script from Thai on, many of which put no
+# blanks between words.
+UNIT = r"[!-~\u0080-\u0DFF]{1,8}|[^\x20\x09-\x0D]"
 K, S = 5, 2
 
 
@@ -35,30 +35,29 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
     w = k - s + 1
     gap_bits = (k - s).bit_length()
 
-    def entry(run: Column, gap: Column) -> Column:
+    def entry(values: Column, gap: Column) -> Column:
         mask = (1 << (31 - gap_bits)) - 1
-        high = F.shiftleft(F.xxhash64(run).bitwiseAND(F.lit(mask)), gap_bits)
+        high = F.shiftleft(values.bitwiseAND(F.lit(mask)), gap_bits)
         return high.bitwiseOR(gap.cast("long")).cast("int")
 
-    def chosen(units: Column) -> Column:
-        inner = F.transform(F.sequence(F.lit(1), F.size(units) - (s - 1)), lambda i: F.xxhash64(F.slice(units, i, s)))
-        return _let(inner, lambda h: F.filter(F.sequence(F.lit(0), F.size(units) - k), lambda i: at_edge(h, i)))
+    def run(units: Column, i: Column, n: int) -> Column:
+        return F.xxhash64(*[F.get(units, i + j if j else i) for j in range(n)])
 
     def at_edge(h: Column, i: Column) -> Column:
-        edge = F.least(F.get(h, i), F.get(h, i + (w - 1)))
         middle = [F.get(h, i + j) for j in range(1, w - 1)]
         if not middle:
             return F.lit(True)
+        edge = F.least(F.get(h, i), F.get(h, i + (w - 1)))
         return edge <= (F.least(*middle) if len(middle) > 1 else middle[0])
 
+    def chosen(units: Column) -> Column:
+        inner = F.transform(units, lambda u, i: F.xxhash64(u, *[F.get(units, i + j) for j in range(1, s)]))
+        return _let(inner, lambda h: F.filter(F.sequence(F.lit(0), F.size(units) - k), lambda i: at_edge(h, i)))
+
     def entries(units: Column, starts: Column) -> Column:
-        listed = F.transform(
-            starts,
-            lambda i, j: entry(
-                F.slice(units, i + 1, k), F.when(j == 0, 0).otherwise(i - F.get(starts, F.greatest(j - 1, F.lit(0))))
-            ),
-        )
-        return F.when(F.size(starts) > 0, listed).otherwise(F.array(entry(units, F.lit(0))))
+        gap = lambda i, j: F.when(j == 0, 0).otherwise(i - F.get(starts, j - 1))
+        listed = F.transform(starts, lambda i, j: entry(run(units, i, k), gap(i, j)))
+        return F.when(F.size(starts) > 0, listed).otherwise(F.array(entry(F.xxhash64(units), F.lit(0))))
 
     none = F.array().cast("array<int>")
     found = F.transform(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda u: F.xxhash64(u))
@@ -66,7 +65,7 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
         _let(
             found,
             lambda units: F.when(F.size(units) == 0, none)
-            .when(F.size(units) < k, F.array(entry(units, F.lit(0))))
+            .when(F.size(units) < k, F.array(entry(F.xxhash64(units), F.lit(0))))
             .otherwise(_let(chosen(units), lambda starts: entries(units, starts))),
         ),
         none,
@@ -103,33 +102,41 @@ def edited(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     Only ids are sorted. Texts are shuffled once by id, and from the same shuffle each document's
     beginning, no longer than the one before it needs, is sent there.
     """
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    name = F.coalesce(F.col(id_column).cast("string"), F.lit("-"))
     rows = docs.select(
         F.col(id_column).alias("doc_id"),
-        F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"),
-    ).withColumn("mark", F.xxhash64("text"))
-    known = rows.groupBy("doc_id", "mark").agg((F.max(F.length("text")) / 2).cast("long").alias("half"))
-    order = stage(numbered(known, ["doc_id", "mark"], "syncmers-ids"), "syncmers-order")
+        text.alias("text"),
+        F.concat_ws(" ", name, F.hex(F.xxhash64(text))).alias("key"),
+    )
+    known = rows.groupBy("doc_id", "key").agg((F.max(F.length("text")) / 2).cast("long").alias("half"))
+    order = stage(numbered(known, ["doc_id", "key"], "syncmers-ids"), "syncmers-order")
     n = order.count()
     # whom a document follows: the one numbered one higher, the first after the last
     before = order.select(
         ((F.col("at") + (n - 1)) % max(n, 1)).alias("at"),
-        F.col("doc_id").alias("to_id"),
-        F.col("mark").alias("to_mark"),
+        F.col("key").alias("to_key"),
+        "doc_id",
         F.col("half").alias("wanted"),
     )
-    links = order.join(before, "at").select(
-        F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), "to_id", "to_mark", "wanted"
-    )
+    links = order.select("key", "at").join(before, "at").drop("at")
+    # both uses take the same columns, so that there is one shuffle of texts
+    dealt = rows.select("key", "text").repartition("key")
     heads = (
-        rows.join(links, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")))
-        .select("to_id", "to_mark", F.expr("substring(text, 1, wanted)").alias("head"), anchors(F.col("text")).alias("next"))
-        .groupBy("to_id", "to_mark")
-        .agg(F.max(F.struct("head", "next")).alias("found"))
+        dealt.join(links, "key")
+        .select(
+            F.col("to_key").alias("key"),
+            "doc_id",
+            F.expr("substring(text, 1, wanted)").alias("head"),
+            anchors(F.col("text")).alias("next"),
+        )
+        .groupBy("key")
+        .agg(F.max(F.struct("head", "next", "doc_id")).alias("found"))
     )
     kept = F.expr("substring(text, 1, length(text) - length(text) DIV 2)")
     return (
-        rows.join(heads, F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("mark") == F.col("to_mark")))
-        .select("doc_id", "text", F.concat(kept, F.col("found.head")).alias("edited"), F.col("found.next").alias("next"))
+        dealt.join(heads, "key")
+        .select("found.doc_id", "text", F.concat(kept, F.col("found.head")).alias("edited"), "found.next")
         .select(
             "*",
             anchors(F.col("text")).alias("fingerprint"),
