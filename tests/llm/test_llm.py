@@ -7,6 +7,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -425,20 +426,80 @@ def test_repeated_lines(docs, rows, none):
     want = Counter()
     for r in rows:
         if r[1] is None:
-            want[(r[0], None, 0, ())] += 1
+            want[(r[0], None, 0, 0, ())] += 1
             continue
-        units, at, kept, gone = r[1].split("\n"), 0, [], []
+        units, at, kept, gone, n_bytes = r[1].split("\n"), 0, [], [], 0
         for k, u in enumerate(units):
-            if len(normal(u).split(" ")) >= 5 and (r[0] is None, r[0] or 0, k) > first[normal(u)]:
+            if normal(u) and (r[0] is None, r[0] or 0, k) > first[normal(u)]:
                 gone.append((at, len(u)))
+                n_bytes += len(u.encode())
             else:
                 kept.append(u)
             at += len(u) + 1
-        want[(r[0], "\n".join(kept), len(units), tuple(gone))] += 1
-    assert Counter((r["doc_id"], r["text"], r["n_units"], tuple((x["start"], x["length"]) for x in r["removed"])) for r in got) == want
+        want[(r[0], "\n".join(kept), len(units), n_bytes, tuple(gone))] += 1
+    assert Counter(
+        (r["doc_id"], r["text"], r["n_units"], r["n_removed"], tuple((x["start"], x["length"]) for x in r["removed"])) for r in got
+    ) == want
+    assert all(r["removed_units"] == len(r["removed"]) for r in got)
     assert lines.repeated_units(none).count() == 0
 
 
+def test_repeated_lines_of_scripts_without_blanks_and_paragraphs(spark):
+    frame = spark.createDataFrame([(1, "全体の一行\nok"), (2, "全体の一行\nnew"), (3, "a\n\n b\n\na")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lines.repeated_units(frame).collect()}
+    assert got[2]["text"] == "new" and got[2]["n_removed"] == 15
+    assert lines.repeated_units(frame, lines.PARAGRAPH).filter("doc_id = 3").first()["text"] == "a\n\n b"
+    few = lines.repeated_units(frame, min_words=2).agg({"n_removed": "sum"}).first()[0]
+    assert few == 0
+
+
+def test_repeated_lines_are_linear_in_a_text(spark):
+    text = "\n".join(f"line {k % 100_000} of a long text" for k in range(200_000))
+    frame = spark.createDataFrame([(1, text), (2, "line 7 of a long text\nother")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in lines.repeated_units(frame).select("doc_id", "removed_units", "n_units", "text").collect()}
+    assert time.perf_counter() - began < 30
+    assert got[1]["removed_units"] == 100_000 and got[1]["n_units"] == 200_000 and got[2]["text"] == "other"
+
+
+def test_toxicity_sample_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(k % 4, f"text {k}") for k in range(40)] + [(None, "x")], "doc_id long, text string")
+    marks = spark.createDataFrame([(k % 4, k % 2) for k in range(12)] + [(None, 1), (77, 1)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, marks).collect()
+    outside = [k for k in range(4) if zlib.crc32(str(k).encode()) % 5]
+    assert len(got) == len(outside) and all(r["text"] is not None for r in got)
+
+
+def _one_edit(term, word):
+    """Whether one letter added, left out, changed or swapped makes the word from the term."""
+    if term == word:
+        return True
+    a, b = len(term), len(word)
+    if a == b:
+        odd = [k for k in range(a) if term[k] != word[k]]
+        swapped = len(odd) == 2 and odd[1] == odd[0] + 1 and term[odd[0]] == word[odd[1]] and term[odd[1]] == word[odd[0]]
+        return len(odd) == 1 or swapped
+    if abs(a - b) != 1:
+        return False
+    long, short = (term, word) if a > b else (word, term)
+    return any(long[:k] + long[k + 1 :] == short for k in range(len(long)))
+
+
+def test_automaton_matches_plain_edit_distance():
+    pick = random.Random(8)
+    draw = lambda n: "".join(pick.choice("abcd") for _ in range(n))
+    terms = {draw(pick.randint(5, 9)) for _ in range(40)}
+    automaton = toxicity.LexiconAutomaton(dict.fromkeys(terms, 1.0))
+    words = {draw(pick.randint(3, 11)) for _ in range(3000)} | terms
+    for term in sorted(terms):
+        for _ in range(30):
+            k = pick.randrange(len(term))
+            words |= {term[:k] + term[k + 1 :], term[:k] + pick.choice("abcde") + term[k:], term[:k] + "e" + term[k + 1 :]}
+            words.add(term[:k] + term[k + 1 : k + 2] + term[k : k + 1] + term[k + 2 :])
+    for word in words:
+        assert (automaton.weight(word) > 0) == any(_one_edit(t, word) for t in terms), word
+
+
 def test_empty_tables(none):
     assert sharding.shard(none).count() == 0
     assert bpe.decode(bpe.encode(none)).count() == 0

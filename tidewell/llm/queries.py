@@ -140,10 +140,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
       FROM u),
     m AS (
-      SELECT *, len(string_split(normal, ' ')) >= 5 AND
+      SELECT *, normal <> '' AND
              row_number() OVER (PARTITION BY normal ORDER BY doc_id, unit) > 1 AS gone
       FROM n)
-    SELECT doc_id, count(*) AS n_units, CAST(sum(CAST(gone AS INTEGER)) AS BIGINT) AS n_removed,
+    SELECT doc_id, count(*) AS n_units, CAST(sum(CAST(gone AS INTEGER)) AS BIGINT) AS removed_units,
+           CAST(coalesce(sum(strlen(part)) FILTER (gone), 0) AS BIGINT) AS n_removed,
            coalesce(string_agg(start || ':' || length(part), ' ' ORDER BY unit) FILTER (gone), '') AS removed,
            sha256(coalesce(string_agg(part, chr(10) ORDER BY unit) FILTER (NOT gone), '')) AS kept_sha256
     FROM m GROUP BY doc_id
@@ -153,8 +154,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["length"].cast("string")))
     return lines.repeated_units(table(spark, sf_dir, "documents")).select(
         "doc_id",
-        F.col("n_units").cast("long"),
-        F.col("n_removed").cast("long"),
+        "n_units",
+        "n_removed",
+        "removed_units",
         F.array_join(spans, " ").alias("removed"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
