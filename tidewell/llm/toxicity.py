@@ -13,10 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import partitions, stage
+from tidewell.llm.hashing import tidy
+
 FOLDS = 5
 # Bound of the labelled sample that the lexicon and the weights are fitted on. It bounds the lexicon
 # too: support keeps at most some 300 times the words and stems of an average toxic row.
 MAX_FIT_ROWS = 20_000
+# Terms that a task counts before it hands them on; Spark adds up the parts.
+FLUSH_TERMS = 100_000
 MIN_DOCS = 4
 STEM = (4, 8)
 # A term must be at least this much likelier in toxic documents.
@@ -214,7 +219,8 @@ def sample(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_c
     """(text, toxic) of at most MAX_FIT_ROWS labelled rows outside the held-out fold.
 
     The labels are chosen by a hash of the id, before the texts are read, and are therefore few
-    enough to be sent to every task: documents are not shuffled.
+    enough to be sent to every task: documents are not shuffled. Of an id with several texts the
+    last in order counts, so that texts are not more than labels.
     """
     chosen = (
         labels.filter((fold(F.col(id_column)) != 0) & F.col("toxic").isin(0, 1))
@@ -222,9 +228,11 @@ def sample(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_c
         .orderBy(F.xxhash64("_label_id"), "_label_id", "_toxic")
         .limit(MAX_FIT_ROWS)
     )
-    return docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text")).join(
+    met = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text")).join(
         F.broadcast(chosen), F.col("_id") == F.col("_label_id")
-    ).select("text", F.col("_toxic").alias("toxic"))
+    )
+    # ids that repeat in documents would bring more rows than labels
+    return met.groupBy("_label_id", F.col("_toxic").alias("toxic")).agg(F.max("text").alias("text")).select("text", "toxic")
 
 
 def _candidates(text: str | None) -> set[str]:
@@ -239,32 +247,33 @@ def _candidates(text: str | None) -> set[str]:
 def _learn_terms(rows: DataFrame) -> tuple[dict[str, float], frozenset[str]]:
     """Weights of terms, and the words like them that the clean rows use as words of their own."""
 
+    def counted_so_far(seen: list[Counter]) -> pa.RecordBatch:
+        terms = list(seen[1] | seen[0])
+        columns = [pa.array(terms, pa.string()), *(pa.array([seen[k][t] for t in terms], pa.int64()) for k in (1, 0))]
+        return pa.RecordBatch.from_arrays(columns, ["term", "toxic", "clean"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[Counter] = [Counter(), Counter()]
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
                 seen[toxic.as_py()].update(_candidates(text.as_py()))
-        likely = sorted(set(seen[1]) | set(seen[0]))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(likely, pa.string()),
-                pa.array([seen[1][t] for t in likely], pa.int64()),
-                pa.array([seen[0][t] for t in likely], pa.int64()),
-            ],
-            ["term", "toxic", "clean"],
-        )
+                if len(seen[0]) + len(seen[1]) >= FLUSH_TERMS:
+                    yield counted_so_far(seen)
+                    seen = [Counter(), Counter()]
+        yield counted_so_far(seen)
+        tidy()
 
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1:
         return {}, frozenset()
-    counted = (
+    counted = stage(
         rows.select("text", F.col("toxic").cast("int").alias("toxic"))
-        .repartition(16)
+        .repartition(partitions(rows.sparkSession))
         .mapInArrow(count, "term string, toxic long, clean long")
         .groupBy("term")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .cache()
+        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")),
+        "toxic-terms",
     )
     lift = ((F.col("toxic") + 0.5) / (n1 + 1)) / ((F.col("clean") + 0.5) / (n0 + 1))
     best = (
@@ -304,7 +313,6 @@ def _learn_terms(rows: DataFrame) -> tuple[dict[str, float], frozenset[str]]:
 
     own = counted.filter(~F.col("term").endswith("*") & (F.col("clean") >= MIN_DOCS) & (lift < LIFT)).select("term")
     known = frozenset(r["term"] for r in own.mapInPandas(like_terms, "term string").collect())
-    counted.unpersist()
     return terms, known
 
 
@@ -313,13 +321,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
 
     Without toxic labels the model has no terms and scores every text low.
     """
-    rows = sample(docs, labels, id_column, text_column).cache()
-    try:
-        terms, known = _learn_terms(rows)
-        model = Model(terms, known=known)
-        table = features(rows, model, "toxic").toPandas()  # numbers only, MAX_FIT_ROWS at most
-    finally:
-        rows.unpersist()
+    rows = stage(sample(docs, labels, id_column, text_column), "toxic-sample")
+    terms, known = _learn_terms(rows)
+    model = Model(terms, known=known)
+    table = features(rows, model, "toxic").toPandas()  # numbers only, MAX_FIT_ROWS at most
     y = table["toxic"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return model
