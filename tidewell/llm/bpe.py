@@ -187,6 +187,8 @@ def encode(
                         [names.slice(first, k + 1 - first), ids], ["doc_id", "ids"]
                     )
                     first, held, parts = k + 1, 0, []
+        del coder
+        encoder.cache_clear()  # workers outlive their tasks, and its memo with them
         tidy()
 
     return chosen.mapInArrow(run, f"doc_id {kind}, ids array<int>")
@@ -208,5 +210,8 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), column, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"]
             )
+        del table
+        token_bytes.cache_clear()
+        tidy()
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")

@@ -355,6 +355,7 @@ def features(rows: DataFrame, model: Model, *keep: str) -> DataFrame:
             for k, name in enumerate(FEATURES):
                 out[name] = found[:, k]
             yield out
+        tidy()
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
     return rows.select("text", *keep).mapInPandas(run, f"{kinds}, " + ", ".join(f"{f} double" for f in FEATURES))
@@ -367,7 +368,9 @@ def score_column(model: Model, text: Column) -> Column:
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         found = [plain.features(None if t is None or t != t else t) for t in texts]
-        return pd.Series(plain.scores(np.array(found).reshape(-1, len(FEATURES))))
+        scores = pd.Series(plain.scores(np.array(found).reshape(-1, len(FEATURES))))
+        tidy()
+        return scores
 
     return score(text)
 

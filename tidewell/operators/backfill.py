@@ -15,6 +15,8 @@ from tidewell.operators.incremental import cursor_literal
 
 CHUNK_SCHEMA = "chunk_id bigint, chunk_start timestamp_ntz, chunk_end timestamp_ntz"
 MAX_CHUNKS = 1_000_000
+# So many ranges become comparisons of their own.
+FEW_RANGES = 16
 
 Range = tuple[datetime, datetime]
 
@@ -65,11 +67,56 @@ def chunk_id(
         number = number - F.when(number * micros > offset, 1).otherwise(0)
         number = number + F.when((number + 1) * micros <= offset, 1).otherwise(0)
     else:
-        starts = F.array(*[cursor_literal(b[0], dtype) for b in chunk_bounds(start, end, size)])
-        number = F.size(F.filter(starts, lambda s: s <= cursor)) - 1
+        number = range_number(cursor, dtype, [b[0] for b in chunk_bounds(start, end, size)])
     return F.when((cursor >= lower) & (cursor < upper), number.cast("bigint"))
 
 
+def range_number(cursor: Column, dtype: T.DataType, starts: Sequence[datetime]) -> Column:
+    """How many of the sorted starts are at or below the cursor, less one: a binary search."""
+    bounds = F.array(*[cursor_literal(s, dtype) for s in starts])
+    steps = [1 << k for k in reversed(range(len(starts).bit_length()))]
+    return F.aggregate(
+        F.array(*map(F.lit, steps)),
+        F.lit(-1),
+        lambda at, step: F.when(F.get(bounds, at + step) <= cursor, at + step).otherwise(at),
+    )
+
+
+def joined_ranges(ranges: Sequence[Range]) -> list[Range]:
+    """Half-open ranges as few as possible: those that meet or overlap become one."""
+    out: list[Range] = []
+    for start, end in sorted(ranges):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def in_ranges(cursor: Column, dtype: T.DataType, ranges: Sequence[Range]) -> Column:
+    """Whether the cursor lies in one of the sorted ranges, which are apart from each other.
+
+    A few ranges are compared one by one, so that all bounds reach the scan. Of many the outer
+    bounds do, and each row is then looked up by binary search.
+    """
+    if len(ranges) <= FEW_RANGES:
+        inside = F.lit(False)
+        for lower, upper in ranges:
+            inside = inside | ((cursor >= cursor_literal(lower, dtype)) & (cursor < cursor_literal(upper, dtype)))
+        return inside
+    outer = (cursor >= cursor_literal(ranges[0][0], dtype)) & (cursor < cursor_literal(ranges[-1][1], dtype))
+    ends = F.array(*[cursor_literal(r[1], dtype) for r in ranges])
+    return outer & (cursor < F.get(ends, range_number(cursor, dtype, [r[0] for r in ranges])))
+
+
+def range_counts(df: DataFrame, cursor: str, ranges: Sequence[Range]) -> list[int]:
+    """Rows of every range, in order; the ranges are sorted and apart from each other."""
+    number = range_number(F.col(cursor), df.schema[cursor].dataType, [r[0] for r in ranges])
+    counts = df.select(number.alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()
+    found = {row["k"]: row["n"] for row in counts}
+    return [found.get(k, 0) for k in range(len(ranges))]
+
+
 def backfill_counts(
     df: DataFrame, cursor: str, start: datetime, end: datetime, size: str
 ) -> DataFrame:
@@ -104,12 +151,7 @@ def pending_chunks(chunks: DataFrame, done: DataFrame) -> DataFrame:
     A chunk that is covered in part leaves one row, with its ``chunk_id``, per remaining part.
     Bounds meet on the driver: at most ``MAX_CHUNKS`` chunks, and one range per finished load.
     """
-    ranges: list[Range] = []
-    for start, end in sorted(tuple(r) for r in done.select("chunk_start", "chunk_end").collect()):
-        if ranges and start <= ranges[-1][1]:
-            ranges[-1] = (ranges[-1][0], max(end, ranges[-1][1]))
-        else:
-            ranges.append((start, end))
+    ranges = joined_ranges([tuple(r) for r in done.select("chunk_start", "chunk_end").collect()])
     parts = [
         (number, *part)
         for number, lower, upper in chunks.select("chunk_id", "chunk_start", "chunk_end").collect()

@@ -109,9 +109,15 @@ def limit_rows(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     return df.orderBy(*order_by).limit(n)
 
 
-def limit_by_cursor(df: DataFrame, n: int, cursor: str) -> DataFrame:
-    """The first ``n`` rows by cursor, and all others that share the last one's value, so that
-    nothing at or before the highest value taken is left behind. Rows without a value wait."""
-    edge = df.select(cursor).filter(F.col(cursor).isNotNull()).orderBy(cursor).limit(n)
+def limit_by_cursor(df: DataFrame, n: int, cursor: str, last: Any = None) -> DataFrame:
+    """The first ``n`` rows by cursor behind ``last``, and all others that share the last one's
+    value, so that nothing at or before the highest value taken is left behind and every run gets
+    further. Rows at or before ``last`` that ``df`` still holds (those read again) come along.
+    Rows without a value wait until nothing else is behind ``last``."""
+    behind = F.col(cursor).isNotNull()
+    if last is not None:
+        behind = F.col(cursor) > cursor_literal(last, df.schema[cursor].dataType)
+    edge = df.select(cursor).filter(behind).orderBy(cursor).limit(n)
     edge = edge.agg(F.max(cursor).alias("__edge"))
-    return df.join(F.broadcast(edge), F.col(cursor) <= F.col("__edge")).drop("__edge")
+    taken = F.when(F.col("__edge").isNotNull(), F.col(cursor) <= F.col("__edge")).otherwise(True)
+    return df.join(F.broadcast(edge), taken).drop("__edge")

@@ -278,6 +278,108 @@ def backfill_overlap_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Dataset(spark, root, "raw_orders").read("orders")
 
 
+@query("""
+    SELECT TIMESTAMP '1995-01-01' + i * INTERVAL 1 MONTH AS chunk_start,
+        TIMESTAMP '1995-01-01' + (i + 1) * INTERVAL 1 MONTH AS chunk_end,
+        (SELECT count(*) FROM orders
+         WHERE o_orderdate >= TIMESTAMP '1995-01-01' + i * INTERVAL 1 MONTH
+           AND o_orderdate < TIMESTAMP '1995-01-01' + (i + 1) * INTERVAL 1 MONTH) AS n_rows,
+        CAST(1 AS BIGINT) AS n_loads
+    FROM generate_series(0, 83) AS g(i)
+""")
+def backfill_single_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """84 months in one load of one scan, into a table partitioned by month."""
+    folder, root = new_scratch(spark, "single-in"), new_scratch(spark, "single-out")
+    table(spark, sf_dir, "orders").write.parquet(folder)
+    spec = _orders_spec(folder, backfill={"chunk_size": "P1M"})
+    spec = replace(spec, options=replace(spec.options, partition_field="o_orderdate"))
+    years = (datetime(y, 1, 1, tzinfo=timezone.utc) for y in (1995, 2002))
+    done = runner.run_backfill(spark, spec, *years, root)
+    loads = Dataset(spark, root, "raw_orders").loads().agg(F.count("*").alias("n_loads"))
+    return done.select("chunk_start", "chunk_end", "n_rows").crossJoin(F.broadcast(loads))
+
+
+@query("""
+    WITH late AS (
+        SELECT o_orderkey, o_custkey, 'M' AS o_orderstatus, o_totalprice + 1 AS o_totalprice,
+            CASE WHEN o_custkey % 2 = 0 THEN o_orderdate ELSE o_orderdate + INTERVAL 45 DAY END AS o_orderdate,
+            o_orderpriority
+        FROM orders WHERE o_orderdate >= DATE '1997-03-01' AND o_orderdate < DATE '1997-05-01')
+    SELECT *, CAST(strftime(o_orderdate, '%Y-%m') IN (SELECT strftime(o_orderdate, '%Y-%m') FROM late
+        UNION SELECT '1997-03' UNION SELECT '1997-04') AS BOOLEAN) AS is_rewritten
+    FROM (SELECT * FROM late UNION ALL
+          SELECT * FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM late))
+""")
+def merge_partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by month; a second run brings two months' orders anew, half of them with a later
+    date. Moved rows leave their old month, and months that the run does not touch keep their
+    files."""
+    folder, root = new_scratch(spark, "parts-in"), new_scratch(spark, "parts-out")
+    orders = table(spark, sf_dir, "orders")
+    orders.write.parquet(f"{folder}/first")
+    spec = _orders_spec(f"{folder}/first")
+    spec = replace(spec, options=replace(spec.options, partition_field="o_orderdate"))
+    runner.run(spark, spec, root)
+    target = runner.target_of(spark, spec, root, {})
+    before = target.read("orders").select(F.input_file_name().alias("file")).distinct()
+    before.write.parquet(f"{folder}/files")
+    month = F.col("o_orderdate").cast("date")
+    some = orders.filter((month >= F.lit("1997-03-01")) & (month < F.lit("1997-05-01")))
+    moved = F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderdate")).otherwise(
+        F.col("o_orderdate") + F.expr("INTERVAL 45 DAYS")
+    )
+    late = some.withColumn("o_orderdate", moved).withColumn("o_orderstatus", F.lit("M"))
+    late = late.withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    target.load("orders", late, "merge", key="o_orderkey", cursor="o_orderdate")
+    old = spark.read.parquet(f"{folder}/files").withColumnRenamed("file", "old")
+    landed = target.read("orders").withColumn("file", F.input_file_name())
+    return landed.join(old, F.col("file") == F.col("old"), "left").select(
+        *orders.columns, F.col("old").isNull().alias("is_rewritten")
+    )
+
+
+@query("""
+    SELECT o_custkey, count(*) AS n_rows, max(o_orderdate) AS latest FROM orders GROUP BY 1
+""")
+def limit_repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs limited to a fifth of the table each, the cursor being a customer key that many
+    orders share: each gets further, and after enough of them every order is there once."""
+    folder, root = new_scratch(spark, "limit-in"), new_scratch(spark, "limit-out")
+    orders = table(spark, sf_dir, "orders")
+    orders.write.parquet(folder)
+    spec = _orders_spec(folder)
+    spec = replace(
+        spec, sync=replace(spec.sync, cursor_field="o_custkey"),
+        options=replace(spec.options, write_disposition="append"),
+    )
+    limit = max(1, orders.count() // 5)
+    for _ in range(6):
+        runner.run(spark, spec, root, limit=limit)
+    landed = Dataset(spark, root, "raw_orders").read("orders")
+    return landed.groupBy("o_custkey").agg(F.count("*").alias("n_rows"), F.max("o_orderdate").alias("latest"))
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END AS o_orderdate FROM orders
+""")
+def incremental_null_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three appending runs over rows of which some have no cursor value: all land once."""
+    folder, root = new_scratch(spark, "null-in"), new_scratch(spark, "null-out")
+    orders = table(spark, sf_dir, "orders")
+    known = F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate"))
+    rows = orders.select("o_orderkey", known.alias("o_orderdate"))
+    spec = _orders_spec(folder)
+    spec = replace(spec, options=replace(spec.options, write_disposition="append"))
+    rows.filter("o_orderkey % 2 = 0").write.parquet(f"{folder}/even")
+    runner.run(spark, spec, root)
+    newest = rows.agg(F.max("o_orderdate").alias("d")).first()["d"]
+    rows.filter("o_orderkey % 2 = 1").write.parquet(f"{folder}/odd")
+    wide = replace(spec, sync=replace(spec.sync, lookback="P9999D")) if newest else spec
+    for _ in range(2):
+        runner.run(spark, wide, root)
+    return Dataset(spark, root, "raw_orders").read("orders")
+
+
 @query("""
     SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
         CASE WHEN o_orderdate >= DATE '1998-01-01' THEN o_orderpriority END AS o_orderpriority

@@ -8,13 +8,12 @@ from datetime import datetime, timezone
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators import backfill, changes, normalize
 from tidewell.operators.incremental import (
     limit_by_cursor,
-    bounded_range,
     check_cursor,
     drop_loaded,
     incremental_filter,
@@ -32,6 +31,7 @@ from tidewell.session import use_utc
 from tidewell.sinks import storage
 from tidewell.sinks.dataset import Dataset, masked_error, total_order
 from tidewell.sinks.jdbc import JdbcTarget
+from tidewell.sinks.partitions import PartitionTarget
 from tidewell.sources import changelog, registry
 from tidewell.sources.registry import Connections
 from tidewell.spec import PipelineSpec
@@ -40,13 +40,22 @@ from tidewell.spec import PipelineSpec
 PARQUET_DESTINATIONS = ("duckdb",)
 JDBC_DESTINATIONS = ("postgres", "snowflake")
 
+Target = Dataset | JdbcTarget | PartitionTarget
+
 
 def target_of(
     spark: SparkSession, spec: PipelineSpec, root: str, connections: Connections
-) -> Dataset | JdbcTarget:
+) -> Target:
     destination = spec.destination
     if destination.type in PARQUET_DESTINATIONS:
-        return Dataset(spark, root, destination.dataset)
+        audit = Dataset(spark, root, destination.dataset)
+        options = spec.options
+        if options.partition_field is None:
+            return audit
+        return PartitionTarget(
+            spark, f"{root.rstrip('/')}/{destination.dataset}", audit, field=options.partition_field,
+            unit=options.partition_unit, fixed=options.partition_fixed,
+        )
     if destination.type in JDBC_DESTINATIONS:
         if destination.connection not in connections:
             raise ValueError(f"pass connections entry {destination.connection!r} with its JDBC url")
@@ -65,11 +74,10 @@ def _order(df: DataFrame, spec: PipelineSpec) -> list[str]:
 
 
 def _incremental(
-    df: DataFrame, spec: PipelineSpec, target: Dataset | JdbcTarget, table: str
+    df: DataFrame, spec: PipelineSpec, target: Target, table: str, last: str | None
 ) -> DataFrame:
     """New rows since the stored cursor; an appending load leaves out what it already has."""
     sync = spec.sync
-    last = target.cursor(table)
     lag = lag_seconds(sync.tolerance_seconds, sync.lookback)
     fresh = incremental_filter(df, sync.cursor_field, last, lag, keep_null=True)
     if last is None or spec.disposition != "append":
@@ -81,7 +89,7 @@ def _incremental(
 
 
 def _load_changes(
-    spark: SparkSession, spec: PipelineSpec, target: Dataset | JdbcTarget,
+    spark: SparkSession, spec: PipelineSpec, target: Target,
     connections: Connections, tables: Mapping[str, DataFrame],
 ) -> list[dict[str, Any]]:
     """Snapshot on the first run or after a reset, then the changes behind the last position."""
@@ -102,7 +110,7 @@ def _load_changes(
         done.append(
             target.apply(
                 table, log, spec.sync.key, contract=spec.options.schema_contract,
-                pipeline=spec.name, reset=anew,
+                delete_mode=spec.options.delete_mode, pipeline=spec.name, reset=anew,
                 move_cursor=config.flush,
             )
         )
@@ -110,7 +118,7 @@ def _load_changes(
 
 
 def _load_tables(
-    spec: PipelineSpec, target: Dataset | JdbcTarget, tables: Mapping[str, DataFrame],
+    spec: PipelineSpec, target: Target, tables: Mapping[str, DataFrame],
     limit: int | None, parallel: int,
 ) -> list[dict[str, Any]]:
     sync = spec.sync
@@ -121,9 +129,10 @@ def _load_tables(
     def load(item: tuple[str, DataFrame]) -> list[dict[str, Any]]:
         table, df = item
         if sync.mode == "incremental":
-            df = _incremental(df, spec, target, table)
+            last = target.cursor(table)
+            df = _incremental(df, spec, target, table, last)
             if limit is not None:  # the cursor moves, so rows are taken in its order
-                df = limit_by_cursor(df, limit, sync.cursor_field)
+                df = limit_by_cursor(df, limit, sync.cursor_field, last)
         elif limit is not None:
             df = limit_rows(df, limit, _order(df, spec))
         return _store(target, table, df, spec, sync.cursor_field)
@@ -134,7 +143,7 @@ def _load_tables(
 
 
 def _store(
-    target: Dataset | JdbcTarget, table: str, df: DataFrame, spec: PipelineSpec,
+    target: Target, table: str, df: DataFrame, spec: PipelineSpec,
     cursor: str | None, **facts: Any,
 ) -> list[dict[str, Any]]:
     """Write a table, and its arrays as child tables of their own."""
@@ -149,8 +158,7 @@ def _store(
     done = []
     for name, child in children.items():
         if merging:
-            chunk = facts.get("chunk")
-            done.append(target.load_children(name, child, chunk=chunk, **common))
+            done.append(target.load_children(name, child, **common))
         else:
             done.append(target.load(name, child.rows, spec.disposition, **common))
     done.append(target.load(table, flat, spec.disposition, key=key, cursor=cursor, **common, **facts))
@@ -171,13 +179,13 @@ def run(
     try:
         return _run(spark, spec, target, connections, limit, parallel)
     except Exception as error:
-        audit = target.audit if isinstance(target, JdbcTarget) else target
+        audit = target if isinstance(target, Dataset) else target.audit
         audit.record_failure("_", spec.name, repr(error))
         raise
 
 
 def _run(
-    spark: SparkSession, spec: PipelineSpec, target: Dataset | JdbcTarget,
+    spark: SparkSession, spec: PipelineSpec, target: Target,
     connections: Connections, limit: int | None, parallel: int,
 ) -> DataFrame:
     tables = registry.build(spark, spec.source, connections)
@@ -191,7 +199,7 @@ def _run(
 
 
 def reconcile(
-    spark: SparkSession, spec: PipelineSpec, target: Dataset | JdbcTarget, connections: Connections
+    spark: SparkSession, spec: PipelineSpec, target: Target, connections: Connections
 ) -> DataFrame:
     """Source against target per table: two counts, or one verdict of an engine that reaches
     both sides where the spec says ``same_cluster``."""
@@ -252,10 +260,15 @@ def run_backfill(
     spark: SparkSession, spec: PipelineSpec, start: datetime, end: datetime, root: str,
     connections: Connections | None = None,
 ) -> DataFrame:
-    """Load ``[start, end)`` chunk by chunk; what earlier runs finished is left out, even where
-    they had other bounds or another chunk size.
+    """Load the chunks of ``[start, end)`` that no earlier run has finished, whatever bounds and
+    chunk size it had.
+
+    A table is read once, for all its open chunks, written once, and committed once: all of them
+    are loaded or none. The stored cursor is left alone, and so is any lag. Bounds must name their
+    time zone. Rows without a cursor value belong to no chunk; they are counted as ``n_skipped``.
 
-    The stored cursor is left alone, and so is any lag. Bounds must name their time zone.
+    Returns a row per loaded chunk: table_name, load_id, pipeline, n_skipped (of its load),
+    chunk_start, chunk_end and n_rows (null where the target does not tell).
     """
     use_utc(spark)
     for bound in (start, end):
@@ -283,13 +296,19 @@ def run_backfill(
     done: list[dict[str, Any]] = []
     for table, df in tables.items():
         todo = backfill.pending_chunks(all_chunks, target.done_chunks(table))
-        for chunk in todo.orderBy("chunk_start").collect():
-            part = bounded_range(df, cursor, chunk.chunk_start, chunk.chunk_end)
-            done += _store(
-                target, table, part, spec, cursor, move_cursor=False,
-                chunk=(chunk.chunk_start, chunk.chunk_end),
-            )
-    return target.loads_of(done)
+        open_chunks = sorted((c.chunk_start, c.chunk_end) for c in todo.collect())
+        if not open_chunks:
+            continue
+        dtype, skipped = df.schema[cursor].dataType, Observation()
+        wanted = backfill.in_ranges(F.col(cursor), dtype, backfill.joined_ranges(open_chunks))
+        none = F.col(cursor).isNull()
+        # both conditions reach the scan; rows without a value are only counted
+        part = df.filter(wanted | none).observe(skipped, F.count_if(none).alias("n_skipped")).filter(wanted)
+        done += _store(
+            target, table, part, spec, cursor, move_cursor=False, chunks=open_chunks, skipped=skipped,
+        )
+    loads = target.loads_of(done).filter(F.col("chunks").isNotNull())
+    return loads.select("table_name", "load_id", "pipeline", "n_skipped", F.inline("chunks"))
 
 
 def run_fleet(

@@ -20,6 +20,7 @@ from datetime import datetime, timezone
 from decimal import Decimal
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from pyspark.sql import types as T
 
 from tidewell.functions.scrub import scrub
 from tidewell.operators import contracts
+from tidewell.operators.backfill import Range, range_counts
 from tidewell.operators.changes import LSN, apply_changes, live_rows, target_rows
 from tidewell.operators.merge import as_key, dedup_latest, merge_upsert, replace_children
 from tidewell.operators.normalize import Child
@@ -53,7 +55,8 @@ LOADS_COLUMNS = {
     "load_id": "string", "pipeline": "string", "disposition": "string", "status": "string",
     "n_rows": "bigint", "n_rejected": "bigint", "null_cursors": "bigint",
     "min_cursor": "string", "max_cursor": "string", "state_cursor": "string",
-    "chunk_start": "timestamp_ntz", "chunk_end": "timestamp_ntz",
+    "n_skipped": "bigint",
+    "chunks": "array<struct<chunk_start:timestamp_ntz,chunk_end:timestamp_ntz,n_rows:bigint>>",
     "new_columns": "array<string>", "schema_json": "string", "key": "array<string>",
     "n_buckets": "int", "base_seq": "bigint", "layout": "map<string,array<string>>",
     "started_at": "timestamp", "finished_at": "timestamp", "error": "string",
@@ -90,7 +93,7 @@ def _later(old: str | None, new: str | None, dtype: T.DataType | None) -> str |
     return max(old, new)
 
 
-def _readable_as(old: T.DataType, new: T.DataType) -> bool:
+def readable_as(old: T.DataType, new: T.DataType) -> bool:
     """Whether Parquet files of the old type can be read as the new one without a rewrite."""
     ints = (T.ByteType, T.ShortType, T.IntegerType)
     return (
@@ -108,6 +111,30 @@ def total_order(df: DataFrame, first: Sequence[str]) -> list[str]:
     return list(dict.fromkeys([*first, *rest]))
 
 
+def observed(seen: Observation) -> dict[str, Any]:
+    """What was observed; nothing where Spark knew beforehand that there are no rows and left
+    the metrics out, for which it has no row to give."""
+    try:
+        return seen.get
+    except Py4JJavaError as error:
+        if "assertion failed" not in str(error.java_exception):
+            raise
+        return {}
+
+
+def count_chunks(
+    rows: DataFrame | None, cursor: str | None, chunks: Sequence[Range], counted: bool = True
+) -> list[dict[str, Any]]:
+    """Chunk ranges with their rows: none of no rows, unknown unless ``counted``."""
+    n: Sequence[int | None] = [0 if counted else None] * len(chunks)
+    if rows is not None:
+        n = range_counts(rows, cursor, chunks)
+    return [
+        {"chunk_start": start, "chunk_end": end, "n_rows": k}
+        for (start, end), k in zip(chunks, n, strict=True)
+    ]
+
+
 def masked_error(text: Column) -> Column:
     """An error's text for a status row: credentials are masked first, then it is cut to size."""
     return F.substring(scrub(text), 1, ERROR_CHARS)
@@ -186,7 +213,7 @@ class Dataset:
         if not storage.exists(self.spark, self._commits(table)):
             return self.spark.createDataFrame([], "chunk_start timestamp_ntz, chunk_end timestamp_ntz")
         commits = self.spark.read.schema(LOADS_SCHEMA).parquet(self._commits(table))
-        return commits.filter(F.col("chunk_start").isNotNull()).select("chunk_start", "chunk_end")
+        return commits.select(F.inline("chunks")).select("chunk_start", "chunk_end")
 
     def cursor(self, table: str) -> str | None:
         head = self.head(table)
@@ -229,9 +256,11 @@ class Dataset:
     def load(
         self, table: str, df: DataFrame, disposition: str, *, key: str | Sequence[str] = (),
         cursor: str | None = None, contract: str = contracts.EVOLVE, pipeline: str = "",
-        move_cursor: bool = True, chunk: tuple[datetime, datetime] | None = None,
+        move_cursor: bool = True, chunks: Sequence[Range] | None = None,
+        skipped: Observation | None = None,
     ) -> dict[str, Any]:
-        """Write rows by disposition and commit them; returns the audit row."""
+        """Write rows by disposition and commit them; returns the audit row. ``chunks`` are the
+        ranges of the cursor that a backfill loads with them."""
         head = self.head(table)
         key = as_key(key) if key else []
         if head is not None and head.key and not key:
@@ -246,12 +275,12 @@ class Dataset:
             combine = None
         return self._store(
             table, df, head, disposition, combine, schema=schema, key=key, cursor=cursor,
-            added=added, rejected=rejected, pipeline=pipeline, move_cursor=move_cursor, chunk=chunk,
+            added=added, rejected=rejected, pipeline=pipeline, move_cursor=move_cursor, chunks=chunks,
+            skipped=skipped,
         )
 
     def load_children(
         self, table: str, child: Child, *, contract: str = contracts.EVOLVE, pipeline: str = "",
-        chunk: tuple[datetime, datetime] | None = None,
     ) -> dict[str, Any]:
         """Merge a table of array elements: parents in the batch get exactly its elements."""
         head = self.head(table)
@@ -263,7 +292,7 @@ class Dataset:
             table, df, head, "merge",
             lambda base, delta, small: replace_children(base, delta, child.parent_key, pos, small),
             schema=schema, key=child.parent_key, cursor=None, added=added, rejected=rejected,
-            pipeline=pipeline, move_cursor=False, chunk=chunk,
+            pipeline=pipeline, move_cursor=False,
         )
 
     def apply(
@@ -280,7 +309,7 @@ class Dataset:
             table, latest, head, "replace" if reset else "merge",
             lambda base, delta, small: apply_changes(base, delta, columns, small),
             schema=schema, key=columns, cursor=LSN, added=added, rejected=rejected,
-            pipeline=pipeline, move_cursor=move_cursor, chunk=None,
+            pipeline=pipeline, move_cursor=move_cursor,
         )
 
     def agree(
@@ -308,7 +337,7 @@ class Dataset:
         combine: Callable[[DataFrame, DataFrame, bool], DataFrame] | None, *,
         schema: T.StructType, key: list[str], cursor: str | None, added: list[str],
         rejected: Observation | None, pipeline: str, move_cursor: bool,
-        chunk: tuple[datetime, datetime] | None,
+        chunks: Sequence[Range] | None = None, skipped: Observation | None = None,
     ) -> dict[str, Any]:
         started = datetime.now(timezone.utc)
         load_id = uuid.uuid4().hex
@@ -317,7 +346,7 @@ class Dataset:
         fresh = head is None or disposition == "replace" or (bool(key) and key != head.key)
         # Another key type hashes into other buckets, so it needs a rewrite in any case.
         rewrite = head is not None and not fresh and any(
-            not _readable_as(f.dataType, schema[f.name].dataType)
+            not readable_as(f.dataType, schema[f.name].dataType)
             or (f.name in key and f.dataType != schema[f.name].dataType)
             for f in head.schema
         )
@@ -333,6 +362,10 @@ class Dataset:
         if key and disposition == "merge" and metrics["null_keys"]:
             storage.remove(self.spark, staged_in)
             raise NullKeys(f"{metrics['null_keys']} rows of {table!r} have a NULL in {key}")
+        counted = None
+        if chunks is not None:  # of what was just written, so the source is read once
+            written = self.spark.read.schema(schema).parquet(staged_in) if metrics["n_rows"] else None
+            counted = count_chunks(written, cursor, chunks)
 
         touched = sorted(metrics["buckets"])
         layout: dict[int, list[str]] = {} if fresh else dict(head.layout)
@@ -363,8 +396,8 @@ class Dataset:
 
         row = self._audit_row(
             head, load_id, disposition, metrics, schema, key=key, cursor=cursor, added=added,
-            rejected=rejected, pipeline=pipeline, move_cursor=move_cursor, chunk=chunk,
-            started=started, layout=layout, buckets=buckets, fresh=fresh,
+            rejected=rejected, pipeline=pipeline, move_cursor=move_cursor, chunks=counted,
+            skipped=skipped, started=started, layout=layout, buckets=buckets, fresh=fresh,
         )
         self._commit(table, row["seq"], row)
         if staging:
@@ -374,9 +407,9 @@ class Dataset:
     def _audit_row(
         self, head: Head | None, load_id: str, disposition: str, metrics: Mapping[str, Any],
         schema: T.StructType, *, key: list[str], cursor: str | None, added: list[str],
-        rejected: Observation | None, pipeline: str, move_cursor: bool,
-        chunk: tuple[datetime, datetime] | None, started: datetime,
+        rejected: Observation | None, pipeline: str, move_cursor: bool, started: datetime,
         layout: Mapping[int, list[str]], buckets: int, fresh: bool,
+        chunks: list[dict[str, Any]] | None = None, skipped: Observation | None = None,
     ) -> dict[str, Any]:
         seq = head.seq + 1 if head else 1
         state = head.state_cursor if head else None
@@ -386,10 +419,10 @@ class Dataset:
         return {
             "seq": seq, "load_id": load_id, "pipeline": pipeline, "disposition": disposition,
             "status": "ok", "n_rows": metrics["n_rows"],
-            "n_rejected": rejected.get.get("n_rejected", 0) if rejected is not None else 0,
+            "n_rejected": observed(rejected).get("n_rejected", 0) if rejected is not None else 0,
             "null_cursors": metrics["null_cursors"], "min_cursor": metrics["min_cursor"],
             "max_cursor": metrics["max_cursor"], "state_cursor": state,
-            "chunk_start": chunk[0] if chunk else None, "chunk_end": chunk[1] if chunk else None,
+            "n_skipped": observed(skipped).get("n_skipped", 0) if skipped is not None else 0, "chunks": chunks,
             "new_columns": added, "schema_json": schema.json(), "key": key, "n_buckets": buckets,
             "base_seq": seq if fresh or head is None else head.base_seq, "layout": layout,
             "started_at": started, "finished_at": datetime.now(timezone.utc), "error": None,
@@ -434,7 +467,7 @@ class Dataset:
         if bucketed:
             writer = writer.partitionBy(BUCKET)
         writer.mode("errorifexists").parquet(folder)
-        return {**NO_ROWS, **seen.get}
+        return {**NO_ROWS, **observed(seen)}
 
     def _record(self, row: Mapping[str, Any]) -> DataFrame:
         """One audit row, built without a Python worker."""
@@ -442,7 +475,9 @@ class Dataset:
         def plain(value: Any) -> Any:
             if isinstance(value, datetime):
                 return value.isoformat()
-            return {str(k): v for k, v in value.items()} if isinstance(value, dict) else value
+            if isinstance(value, list):
+                return [plain(v) for v in value]
+            return {str(k): plain(v) for k, v in value.items()} if isinstance(value, dict) else value
 
         text = json.dumps({c: plain(row.get(c)) for c in LOADS_COLUMNS})
         parsed = F.from_json(F.lit(text), LOADS_SCHEMA, {"mode": "FAILFAST"})

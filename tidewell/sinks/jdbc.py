@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import types as T
 
 from tidewell.operators import contracts
+from tidewell.operators.backfill import Range
 from tidewell.operators.changes import LSN, target_rows
 from tidewell.operators.merge import as_key, dedup_latest
 from tidewell.operators.normalize import Child
 from tidewell.operators.quality import load_metrics
-from tidewell.sinks.dataset import NO_ROWS, Dataset, NullKeys, total_order
+from tidewell.sinks.dataset import NO_ROWS, Dataset, NullKeys, count_chunks, observed, total_order
 
 # SQL names of Spark types; every other type is stored as text.
 SQL_TYPES = {
@@ -124,7 +125,8 @@ class JdbcTarget:
     def load(
         self, name: str, df: DataFrame, disposition: str, *, key: str | Sequence[str] = (),
         cursor: str | None = None, contract: str = contracts.EVOLVE, pipeline: str = "",
-        move_cursor: bool = True, chunk: tuple[datetime, datetime] | None = None,
+        move_cursor: bool = True, chunks: Sequence[Range] | None = None,
+        skipped: Observation | None = None,
     ) -> dict[str, Any]:
         """Write rows by disposition, then commit the audit row.
 
@@ -143,7 +145,8 @@ class JdbcTarget:
             metrics = self._put(name, df, disposition, key, cursor)
         return self.audit.commit_external(
             name, disposition, metrics, schema, cursor=cursor, added=added, rejected=rejected,
-            pipeline=pipeline, move_cursor=move_cursor, chunk=chunk, started=started,
+            pipeline=pipeline, move_cursor=move_cursor, started=started, skipped=skipped,
+            chunks=None if chunks is None else count_chunks(None, cursor, chunks, counted=False),
         )
 
     def apply(
@@ -165,13 +168,11 @@ class JdbcTarget:
             metrics = self._merge(name, latest, columns, LSN, create=head is None, newer=LSN)
         return self.audit.commit_external(
             name, "replace" if reset else "merge", metrics, schema, cursor=LSN, added=added,
-            rejected=rejected, pipeline=pipeline, move_cursor=move_cursor, chunk=None,
-            started=started,
+            rejected=rejected, pipeline=pipeline, move_cursor=move_cursor, started=started,
         )
 
     def load_children(
         self, name: str, child: Child, *, contract: str = contracts.EVOLVE, pipeline: str = "",
-        chunk: tuple[datetime, datetime] | None = None,
     ) -> dict[str, Any]:
         """Replace the array elements of the batch's parents, in one transaction."""
         started = datetime.now(timezone.utc)
@@ -186,7 +187,7 @@ class JdbcTarget:
         )
         return self.audit.commit_external(
             name, "merge", metrics, schema, cursor=None, added=added, rejected=rejected,
-            pipeline=pipeline, move_cursor=False, chunk=chunk, started=started,
+            pipeline=pipeline, move_cursor=False, started=started,
         )
 
     def _add_columns(self, name: str, schema: T.StructType, added: Sequence[str]) -> None:
@@ -199,7 +200,7 @@ class JdbcTarget:
         seen = Observation()
         watched = df.observe(seen, *load_metrics(df, cursor, list(key)))
         self._write(watched, self.table(name), "overwrite" if disposition == "replace" else "append")
-        return {**NO_ROWS, **seen.get}
+        return {**NO_ROWS, **observed(seen)}
 
     def _merge(
         self, name: str, latest: DataFrame, key: list[str], cursor: str | None, *,
@@ -211,7 +212,7 @@ class JdbcTarget:
         seen = Observation()
         watched = latest.observe(seen, *load_metrics(latest, cursor, key))
         self._write(watched, staging, "errorifexists")
-        metrics = {**NO_ROWS, **seen.get}
+        metrics = {**NO_ROWS, **observed(seen)}
         try:
             if metrics["null_keys"]:
                 raise NullKeys(f"{metrics['null_keys']} rows of {name!r} have a NULL in {key}")

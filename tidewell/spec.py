@@ -16,6 +16,8 @@ DESTINATION_TYPES = ("postgres", "snowflake", "databricks", "duckdb")
 SYNC_MODES = ("full_refresh", "incremental", "cdc")
 DISPOSITIONS = ("append", "replace", "merge")
 CONTRACTS = ("evolve", "freeze", "discard_row")
+DELETE_MODES = ("soft", "hard")
+PARTITION_UNITS = ("year", "month", "day")
 CHECK_MODES = ("same_cluster", "cross_cluster")
 ALERT_SEVERITIES = ("P1", "P2", "info")
 NAME_FORMAT = r"[a-z][a-z0-9_]*"
@@ -77,8 +79,15 @@ class Schedule:
 
 @dataclass(frozen=True)
 class Options:
+    """``partition_field`` lays a table out by that date, per ``partition_unit``; say
+    ``partition_fixed`` only if the date of a key never changes."""
+
     write_disposition: str | None = None
     schema_contract: str = "evolve"
+    delete_mode: str = "soft"
+    partition_field: str | None = None
+    partition_unit: str = "month"
+    partition_fixed: bool = False
 
 
 @dataclass(frozen=True)
@@ -192,6 +201,8 @@ class PipelineSpec:
             ("destination.type", self.destination.type, DESTINATION_TYPES),
             ("sync.mode", self.sync.mode, SYNC_MODES),
             ("options.schema_contract", self.options.schema_contract, CONTRACTS),
+            ("options.delete_mode", self.options.delete_mode, DELETE_MODES),
+            ("options.partition_unit", self.options.partition_unit, PARTITION_UNITS),
             ("quality.check_mode", self.quality.check_mode, CHECK_MODES),
             ("alerts.severity", self.alerts.severity, ALERT_SEVERITIES),
         )
