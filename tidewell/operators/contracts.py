@@ -31,28 +31,79 @@ def schema_new_columns(target: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming.join(target, ["table_name", "column_name"], "left_anti")
 
 
+def _as_decimal(dtype: T.DataType) -> T.DecimalType | None:
+    """The decimal that holds every value of an exact number type."""
+    if isinstance(dtype, T.DecimalType):
+        return dtype
+    digits = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}.get(type(dtype))
+    return T.DecimalType(digits, 0) if digits else None
+
+
+def _exact_in_double(dtype: T.DataType) -> bool:
+    """Whether every value of a number type has a double of its own: up to 2**53."""
+    if isinstance(dtype, T.DecimalType):
+        return dtype.scale == 0 and dtype.precision <= 15
+    return isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType))
+
+
 def common_type(left: T.DataType, right: T.DataType) -> T.DataType:
-    """The narrowest type that holds both: wider integers, decimals, or double beside a
-    floating-point column; text where there is none."""
+    """The narrowest type in which no value of either loses anything; text where there is none.
+
+    - Whole numbers widen, beside decimals to a decimal of enough digits (38 at most).
+    - Floating point takes in what a double holds exactly: integers up to 32 bits and decimals of
+      up to 15 digits without fraction. A bigint or a decimal fraction beside it becomes text.
+    - Dates and zoneless timestamps are instants in UTC here, so dates widen to the timestamp
+      beside them, and a zoneless timestamp to one with a zone.
+    - Structs are joined field by field (new fields behind the known ones), arrays and maps by
+      element, key and value. A struct, array or map beside anything else becomes JSON text.
+    """
     if left == right:
         return left
+    if isinstance(left, T.NullType) or isinstance(right, T.NullType):
+        return left if isinstance(right, T.NullType) else right
+    if isinstance(left, T.StructType) and isinstance(right, T.StructType):
+        return evolved_schema(left, right)
+    if isinstance(left, T.ArrayType) and isinstance(right, T.ArrayType):
+        return T.ArrayType(common_type(left.elementType, right.elementType))
+    if isinstance(left, T.MapType) and isinstance(right, T.MapType):
+        return T.MapType(common_type(left.keyType, right.keyType), common_type(left.valueType, right.valueType))
     if isinstance(left, _INTEGERS) and isinstance(right, _INTEGERS):
         return max(left, right, key=lambda t: _INTEGERS.index(type(t)))
-    pair = {type(left), type(right)}
-    if pair <= {*_INTEGERS, T.FloatType, T.DoubleType}:
-        return T.DoubleType()
-    if T.DecimalType in pair and pair <= {*_INTEGERS, T.DecimalType}:
-        scale = max(getattr(t, "scale", 0) for t in (left, right))
-        whole = max(
-            t.precision - t.scale if isinstance(t, T.DecimalType) else 19 for t in (left, right)
-        )
-        if whole + scale <= 38:
-            return T.DecimalType(whole + scale, scale)
-    if pair == {T.DateType, T.TimestampNTZType}:
-        return T.TimestampNTZType()
+    if _exact_in_double(left) and _exact_in_double(right):
+        if {type(left), type(right)} & {T.FloatType, T.DoubleType}:
+            return T.DoubleType()
+    one, two = _as_decimal(left), _as_decimal(right)
+    if one and two:
+        scale = max(one.scale, two.scale)
+        digits = max(one.precision - one.scale, two.precision - two.scale) + scale
+        return T.DecimalType(digits, scale) if digits <= 38 else T.StringType()
+    times = [T.DateType, T.TimestampNTZType, T.TimestampType]
+    if type(left) in times and type(right) in times:
+        return times[max(times.index(type(left)), times.index(type(right)))]()
     return T.StringType()
 
 
+def converted(value: Column, old: T.DataType, new: T.DataType) -> Column:
+    """A value of ``old`` as the ``new`` type that `common_type` chose for it."""
+    if old == new:
+        return value
+    if isinstance(old, T.StructType) and isinstance(new, T.StructType):
+        fields = [
+            (converted(value.getField(f.name), old[f.name].dataType, f.dataType)
+             if f.name in old.fieldNames() else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in new
+        ]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(old, T.ArrayType) and isinstance(new, T.ArrayType):
+        return F.transform(value, lambda v: converted(v, old.elementType, new.elementType))
+    if isinstance(old, T.MapType) and isinstance(new, T.MapType):
+        keyed = F.transform_keys(value, lambda k, v: converted(k, old.keyType, new.keyType))
+        return F.transform_values(keyed, lambda k, v: converted(v, old.valueType, new.valueType))
+    if isinstance(new, T.StringType) and isinstance(old, (T.StructType, T.ArrayType, T.MapType)):
+        return F.to_json(value)
+    return value.cast(new)
+
+
 def evolved_schema(target: T.StructType, incoming: T.StructType) -> T.StructType:
     """The target's columns in their order, widened where needed, then the new ones."""
     fields = []
@@ -70,10 +121,11 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """``df`` with exactly these columns and types; absent columns are NULL."""
     return df.select(
         *[
-            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            (converted(F.col(f"`{f.name}`"), df.schema[f.name].dataType, f.dataType) if f.name in df.columns
+             else F.lit(None).cast(f.dataType)).alias(f.name)
             for f in schema
         ]
-    )
+    )
 
 
 def contract_evolve(target: DataFrame, incoming: DataFrame) -> DataFrame:

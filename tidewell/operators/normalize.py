@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,13 +113,42 @@ def infer_json_type(df: DataFrame, column: str) -> T.DataType:
 
 def records_of_pages(
     pages: DataFrame, page_schema: str | T.StructType, records: str = "results",
-    payload: str = "payload", carry: Sequence[str] = ("endpoint", "page_no"),
+    payload: str = "payload", carry: Sequence[str] = ("endpoint", "page_no"), strict: bool = False,
 ) -> DataFrame:
-    """One row per record of the page payloads; unreadable or empty pages give none."""
-    parsed = F.from_json(F.col(payload), page_schema)
+    """One row per record of the page payloads; empty pages give none.
+
+    A page that is no JSON gives none either (``page_report`` counts these); if ``strict``, it
+    stops the job and names the page.
+    """
+    text = F.col(payload)
+    if strict:
+        place = F.concat_ws(" ", *[F.col(c).cast("string") for c in ("endpoint", "page_no") if c in pages.columns])
+        broken = F.raise_error(F.concat(F.lit("page is no JSON: "), place)).cast("string")
+        text = F.when(unreadable(text), broken).otherwise(text)
+    parsed = F.from_json(text, page_schema)
     return pages.select(*carry, F.inline(parsed.getField(records)))
 
 
+def unreadable(payload: Column) -> Column:
+    """Whether a payload is there, but no JSON."""
+    return payload.isNotNull() & F.try_parse_json(payload).isNull()
+
+
+def page_report(
+    pages: DataFrame, page_schema: str | T.StructType, records: str = "results", payload: str = "payload"
+) -> DataFrame:
+    """Per endpoint: n_pages, n_unreadable (no JSON), n_without_records and n_records."""
+    text = F.col(payload)
+    size = F.size(F.from_json(text, page_schema).getField(records))
+    found = F.coalesce(F.when(size >= 0, size), F.lit(0))
+    return pages.groupBy("endpoint").agg(
+        F.count(F.lit(1)).alias("n_pages"),
+        F.count_if(text.isNull() | unreadable(text)).alias("n_unreadable"),
+        F.count_if(~(text.isNull() | unreadable(text)) & (found == 0)).alias("n_without_records"),
+        F.sum(found).cast("long").alias("n_records"),
+    )
+
+
 def limit_pages(pages: DataFrame, n: int) -> DataFrame:
     """The first ``n`` pages of every endpoint, cut before the records are unpacked."""
     return pages.filter(F.col("page_no") < n)

@@ -31,6 +31,60 @@ def contract_evolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.contract_evolve(old, orders.filter(_recent()))
 
 
+@query("""
+    SELECT o_orderkey, '[' || o_custkey || ',' || (o_custkey + 1) || ']' AS keys,
+        CASE WHEN o_orderdate >= DATE '1998-01-01' THEN o_orderstatus END AS status,
+        CAST(CAST(o_custkey / CASE WHEN o_orderdate >= DATE '1998-01-01' THEN 4 ELSE 1 END
+             AS DECIMAL(21, 2)) AS VARCHAR) AS amount,
+        CASE WHEN o_orderdate >= DATE '1998-01-01' THEN CAST(o_orderkey AS VARCHAR)
+             ELSE CAST(9007199254740993 + o_orderkey AS VARCHAR) END AS big
+    FROM orders
+""")
+def contract_evolve_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structs gain fields, array elements and decimals widen, and a bigint beside a text keeps
+    all its digits."""
+    orders = table(spark, sf_dir, "orders")
+    old = orders.filter(~_recent()).select(
+        "o_orderkey",
+        F.struct(
+            F.array(F.col("o_custkey").cast("int"), (F.col("o_custkey") + 1).cast("int")).alias("keys"),
+            F.col("o_custkey").alias("amount"),
+        ).alias("doc"),
+        (F.lit(9007199254740993) + F.col("o_orderkey")).alias("big"),
+    )
+    new = orders.filter(_recent()).select(
+        "o_orderkey",
+        F.struct(
+            F.array("o_custkey", F.col("o_custkey") + 1).alias("keys"),
+            (F.col("o_custkey") / 4).cast("decimal(12,2)").alias("amount"),
+            F.col("o_orderstatus").alias("status"),
+        ).alias("doc"),
+        F.col("o_orderkey").cast("string").alias("big"),
+    )
+    both = contracts.contract_evolve(old, new)
+    return both.select(
+        "o_orderkey", F.to_json("doc.keys").alias("keys"), "doc.status",
+        F.col("doc.amount").cast("string").alias("amount"), "big",
+    )
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderdate >= DATE '1998-01-01' THEN o_orderdate + INTERVAL 90 MINUTE
+        ELSE date_trunc('day', o_orderdate) END AS moment FROM orders
+""")
+def contract_evolve_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates in old rows, timestamps without a zone in some new ones and with a zone in others."""
+    orders = table(spark, sf_dir, "orders")
+    later = F.col("o_orderdate") + F.expr("INTERVAL 90 MINUTES")
+    old = orders.filter(~_recent()).select("o_orderkey", F.col("o_orderdate").cast("date").alias("moment"))
+    plain = orders.filter(_recent() & (F.col("o_orderkey") % 2 == 0)).select("o_orderkey", later.alias("moment"))
+    zoned = orders.filter(_recent() & (F.col("o_orderkey") % 2 == 1)).select(
+        "o_orderkey", F.convert_timezone(F.lit("UTC"), F.current_timezone(), later).cast("timestamp").alias("moment")
+    )
+    both = contracts.contract_evolve(contracts.contract_evolve(old, plain), zoned)
+    return both.withColumn("moment", F.col("moment").cast("timestamp_ntz"))
+
+
 @query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, CAST(NULL AS VARCHAR) AS o_clerk FROM orders")
 def contract_freeze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch that fits a frozen schema, in that schema's shape; the tests cover refusals."""

@@ -55,6 +55,29 @@ def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.scan_files(spark, folder, "csv", "*.csv", schema=orders.schema)
 
 
+@query("""
+    SELECT o_orderkey, o_custkey, o_totalprice,
+        CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority || ', "as said"' || chr(10) || o_orderstatus END AS note,
+        CASE WHEN o_orderkey % 3 = 2 THEN o_orderstatus END AS o_orderstatus
+    FROM orders
+""")
+def scan_csv_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three kinds of CSV files in one folder: other orders of columns, other columns, and texts
+    with quotes, commas and line breaks."""
+    orders, folder = table(spark, sf_dir, "orders"), new_scratch(spark, "orders-headers")
+    note = F.concat("o_orderpriority", F.lit(', "as said"\n'), "o_orderstatus").alias("note")
+    kinds = (
+        ["o_orderkey", note, "o_custkey", "o_totalprice"],
+        ["o_totalprice", "o_custkey", "o_orderkey"],
+        ["o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice"],
+    )
+    for k, columns in enumerate(kinds):
+        rows = orders.filter(F.col("o_orderkey") % 3 == k).select(*columns)
+        rows.write.option("header", True).option("escape", '"').csv(f"{folder}/kind{k}")
+    schema = "o_orderkey bigint, o_custkey bigint, o_totalprice double, note string, o_orderstatus string"
+    return files.scan_files(spark, folder, "csv", "*.csv", options={"multiLine": True}, schema=schema)
+
+
 @query("SELECT * FROM orders")
 def scan_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table written as JSON lines and read back with inferred types."""

@@ -108,6 +108,25 @@ def child_table_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target.read("pages__results")
 
 
+@query(f"""
+    WITH p AS (
+        SELECT o_orderstatus AS endpoint, o_orderkey // {PAGE_SIZE} AS page_no, count(*) AS n
+        FROM orders GROUP BY ALL)
+    SELECT endpoint, count(*) AS n_pages, count(*) FILTER (page_no % 7 = 3) AS n_unreadable,
+        count(*) FILTER (page_no % 7 = 4) AS n_without_records,
+        CAST(coalesce(sum(n) FILTER (page_no % 7 NOT IN (3, 4)), 0) AS BIGINT) AS n_records
+    FROM p GROUP BY endpoint
+""")
+def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of which every seventh is cut off and every seventh has no records."""
+    kind = F.col("page_no") % 7
+    payload = (
+        F.when(kind == 3, F.expr("left(payload, length(payload) - 2)"))
+        .when(kind == 4, F.lit('{"results": []}')).otherwise(F.col("payload"))
+    )
+    return normalize.page_report(order_pages(spark, sf_dir).withColumn("payload", payload), RECORD)
+
+
 @query(f"SELECT {_FIELDS} FROM orders")
 def page_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored pages through the source builder: one table per endpoint, types inferred."""

@@ -102,12 +102,12 @@ class PartitionTarget:
         df = self._stored(table, head.schema).drop(PART)
         return live_rows(df) if live_only else df
 
-    def _put(self, df: DataFrame, folder: str, mode: str, observed: Sequence[Column]) -> dict[str, Any]:
+    def _put(self, df: DataFrame, folder: str, mode: str, metrics: Sequence[Column]) -> dict[str, Any]:
         """Write rows by partition; what was seen on the way. Large partitions are split over
         tasks and small ones share one."""
         seen = Observation()
         placed = df.withColumn(PART, self.part_of(df)).observe(
-            seen, *observed, F.collect_set(PART).alias("parts")
+            seen, *metrics, F.collect_set(PART).alias("parts")
         )
         (
             placed.hint("rebalance", F.col(PART)).write.mode(mode)
