@@ -106,11 +106,11 @@ D = T._parse_datatype_string
     [
         ("int", "double", "double"), ("bigint", "double", "string"), ("decimal(15,0)", "double", "double"),
         ("decimal(10,2)", "double", "string"), ("bigint", "decimal(10,4)", "decimal(23,4)"),
-        ("int", "decimal(5,2)", "decimal(12,2)"), ("decimal(38,0)", "decimal(10,4)", "string"),
+        ("int", "decimal(5,2)", "decimal(21,2)"), ("decimal(38,0)", "decimal(10,4)", "string"),
         ("date", "timestamp", "timestamp"), ("date", "timestamp_ntz", "timestamp_ntz"),
         ("timestamp_ntz", "timestamp", "timestamp"), ("date", "int", "string"), ("boolean", "int", "string"),
         ("array<int>", "array<bigint>", "array<bigint>"), ("array<int>", "int", "string"),
-        ("map<string,int>", "map<string,decimal(12,1)>", "map<string,decimal(12,1)>"),
+        ("map<string,int>", "map<string,decimal(12,1)>", "map<string,decimal(20,1)>"),
         ("struct<a:int,b:struct<c:date>>", "struct<b:struct<c:timestamp_ntz,d:int>,e:string>",
          "struct<a:int,b:struct<c:timestamp_ntz,d:int>,e:string>"),
         ("void", "array<int>", "array<int>"),

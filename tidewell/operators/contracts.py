@@ -32,11 +32,11 @@ def schema_new_columns(target: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def _as_decimal(dtype: T.DataType) -> T.DecimalType | None:
-    """The decimal that holds every value of an exact number type."""
+    """The decimal that holds every value of an exact number type, integers like a bigint: they
+    often widen further."""
     if isinstance(dtype, T.DecimalType):
         return dtype
-    digits = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}.get(type(dtype))
-    return T.DecimalType(digits, 0) if digits else None
+    return T.DecimalType(19, 0) if isinstance(dtype, _INTEGERS) else None
 
 
 def _exact_in_double(dtype: T.DataType) -> bool:
