@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from functools import cache
 
 import numpy as np
@@ -66,7 +67,9 @@ def unpack(packed: list[bytes], width: int) -> np.ndarray:
 
 
 def tidy() -> None:
-    """Give freed memory back: Python workers live on between tasks, beside the executor's heap."""
+    """Give memory back at a task's end: Python workers live on, beside the executor's heap."""
+    powers.cache_clear()
+    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
