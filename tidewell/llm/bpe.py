@@ -19,7 +19,7 @@ from tidewell.llm.hashing import tidy
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Entries of a worker's memo tables, to bound its memory.
-MEMO, PAIRS = 100_000, 300_000
+MEMO, PAIRS = 150_000, 450_000
 # Ids per batch that goes back to Spark.
 BATCH_IDS = 1_000_000
 
