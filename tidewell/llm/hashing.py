@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -66,11 +67,28 @@ def unpack(packed: list[bytes], width: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def trim() -> None:
+    """Free memory goes back to the system instead of waiting for this worker's next allocation."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
 def tidy() -> None:
     """Give memory back at a task's end: Python workers live on, beside the executor's heap."""
     powers.cache_clear()
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    trim()
+
+
+def tidied(function: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The function of a group, with its working memory given back before the next group comes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return function(table)
+        finally:
+            trim()
+
+    return run

@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewell.llm.common import components, join_by_key, partitions, stage
-from tidewell.llm.hashing import BYTES, Spans, mix, pack, tidy, unpack
+from tidewell.llm.hashing import BYTES, Spans, mix, pack, tidied, tidy, unpack
 
 NGRAM = 5
 NUMERATOR, DENOMINATOR = 80, 100
-CHUNK = 1 << 20
+CHUNK = 1 << 18  # bytes hashed at a time, in some 20 arrays of eight times that
 FLUSH = 1_500_000  # entries a task holds before it sends them
 BUCKET_BYTES = 4 << 20  # text per bucket of n-grams
 BLOCK = 1_024  # members of a cluster, and as many that ask, which one task holds about
@@ -287,9 +287,9 @@ def _classes(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFra
         named.select("doc_id", "text")
         .mapInArrow(lambda it: _entries(it, buckets), "bucket int, gram binary, owner binary, digest binary, size binary")
         .groupBy("bucket")
-        .applyInArrow(lambda t: _shared(t, buckets), "to int, gram binary, digest binary, size binary, often binary")
+        .applyInArrow(tidied(lambda t: _shared(t, buckets)), "to int, gram binary, digest binary, size binary, often binary")
         .groupBy("to")
-        .applyInArrow(_candidates, "digest long, n long, grp long, prefix array<long>, centrality double, grams binary"),
+        .applyInArrow(tidied(_candidates), "digest long, n long, grp long, prefix array<long>, centrality double, grams binary"),
         "jaccard-classes",
     )
     # Members of a group: any two of them share their prefix, but each is verified by itself below.

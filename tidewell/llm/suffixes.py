@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import partitions, stage
-from tidewell.llm.hashing import Spans, mix, pack, tidy, unpack
+from tidewell.llm.hashing import Spans, mix, pack, tidied, tidy, unpack
 
 LENGTH, GRAM = 100, 24
 HALF = LENGTH // 2
-CHUNK = 1 << 20  # bytes hashed at a time; anchors() needs less than 1 << 24
+CHUNK = 1 << 18  # bytes hashed at a time, in some 20 arrays of eight times that; anchors() needs less than 1 << 24
 FLUSH = 300_000  # entries a task holds before it sends them
 SEND = 8 << 20  # text per batch that goes back to Spark
 BUCKET_BYTES = 8 << 20  # text per bucket of anchors
@@ -311,7 +311,7 @@ def repeated_strings(
         named.select("key", "bytes")
         .mapInArrow(lambda it: _find(it, buckets), f"bucket int, {side}")
         .groupBy("bucket")
-        .applyInArrow(_rank, "key long, mark long, lo long, hi long, off short, whole boolean")
+        .applyInArrow(tidied(_rank), "key long, mark long, lo long, hi long, off short, whole boolean")
         .groupBy(F.col("key").alias("_key"), F.col("mark").alias("_mark"))
         .agg(F.collect_list(F.struct("lo", "hi", "off", "whole")).alias("runs"))
     )
@@ -337,7 +337,7 @@ def repeated_strings(
             lambda it: _contexts(it, buckets), "bucket int, key long, mark long, lo long, bytes binary"
         )
         .groupBy("bucket")
-        .applyInArrow(_expand, "key long, mark long, lo long, hi long")
+        .applyInArrow(tidied(_expand), "key long, mark long, lo long, hi long")
         .groupBy(F.col("key").alias("_key"), F.col("mark").alias("_mark"))
         .agg(F.collect_list(F.struct("lo", "hi")).alias("more"))
     )
