@@ -6,6 +6,8 @@ other event updates. Customers are the initial copy.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,9 @@ from tidewell.plans import runner
 from tidewell.plans.queries.book import query, table
 from tidewell.session import new_scratch
 from tidewell.sinks.dataset import Dataset
+from tidewell.sources.changelog import LogConfig
 from tidewell.spec import PipelineSpec
-from tidewell.streaming.change_stream import apply_stream, read_log
+from tidewell.streaming.change_stream import apply_stream, pending_changes, read_log, sync_changes
 
 KEY = ["user_id"]
 
@@ -163,6 +166,87 @@ def cdc_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Dataset(spark, scratch, "raw").read("accounts")
 
 
+def _stored(spark: SparkSession, sf_dir: str, scratch: str) -> tuple[DataFrame, LogConfig]:
+    """The initial copy as a stored folder; the log that is to be stored beside it."""
+    customers = table(spark, sf_dir, "customer")
+    customers.select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("value")).write.parquet(
+        f"{scratch}/copy/accounts"
+    )
+    config = LogConfig(
+        slot="s", tables=["accounts"], log_path=f"{scratch}/log", snapshot_path=f"{scratch}/copy",
+        publish=changes.DEFAULT_PUBLISH, reset=False, include={}, hints={}, batch_size=1000, flush=True,
+    )
+    return change_log(spark, sf_dir).withColumn("table_name", F.lit("accounts")), config
+
+
+@query(_APPLIED)
+def cdc_stream_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A target that a drained stream and then changes from nowhere went into, with positions
+    beyond the log; a reset brings it back to the copy and the log."""
+    scratch = new_scratch(spark, "stream-reset")
+    log, config = _stored(spark, sf_dir, scratch)
+    log.write.parquet(config.log_path)
+    target = Dataset(spark, scratch, "raw")
+
+    def drain(reset: bool) -> None:
+        sync_changes(
+            spark, config.log_path, log.schema, target, replace(config, reset=reset), KEY,
+            f"{scratch}/checkpoint",
+        )
+
+    drain(False)
+    stray = change_log(spark, sf_dir).withColumns({"lsn": F.col("lsn") + 10**12, "value": F.lit(-1.0)})
+    target.apply("accounts", stray, KEY)
+    drain(True)
+    return _with_columns(target.read("accounts"))
+
+
+@query(f"SELECT user_id, value, event_type, props, _lsn, _deleted_at FROM ({_APPLIED})")
+def cdc_replace_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change data with ``replace``, run before and after the log grew and once more: every run
+    leaves the copy and the whole log, not only what came since the last one."""
+    scratch = new_scratch(spark, "cdc-replace")
+    log, config = _stored(spark, sf_dir, scratch)
+    spec = PipelineSpec.from_dict(
+        {
+            "name": "accounts_anew",
+            "source": {
+                "type": "pg_cdc", "connection": "pg",
+                "config": {"slot_name": "s", "publication_name": "p", "tables": ["accounts"]},
+            },
+            "sync": {"mode": "cdc", "primary_key": "user_id"},
+            "destination": {"type": "duckdb", "connection": "local", "dataset": "raw"},
+            "options": {"write_disposition": "replace"},
+        }
+    )
+    place = {"pg": {"log_path": config.log_path, "snapshot_path": config.snapshot_path}}
+    late = F.col("commit_ts") >= F.lit("2024-01-15").cast("timestamp_ntz")
+    for part in (log.filter(~late), log.filter(late), None):
+        if part is not None:
+            part.write.mode("append").parquet(config.log_path)
+        runner.run(spark, spec, scratch, place)
+    return _with_columns(Dataset(spark, scratch, "raw").read("accounts"))
+
+
+@query(f"""
+    SELECT event_id AS lsn, event_id // 7 AS tx_id, {_OP} AS op, ts AS commit_ts, user_id, event_type,
+        value, props, 'accounts' AS table_name
+    FROM events WHERE ts >= TIMESTAMP '2024-01-15'
+""")
+def cdc_shadow_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream that has drained the first half of the month would read next, asked twice:
+    the first answer moved nothing."""
+    scratch = new_scratch(spark, "shadow-read")
+    log, config = _stored(spark, sf_dir, scratch)
+    late = F.col("commit_ts") >= F.lit("2024-01-15").cast("timestamp_ntz")
+    log.filter(~late).write.parquet(config.log_path)
+    checkpoint = f"{scratch}/checkpoint"
+    sync_changes(spark, config.log_path, log.schema, Dataset(spark, scratch, "raw"), config, KEY, checkpoint)
+    log.filter(late).write.mode("append").parquet(config.log_path)
+    pending_changes(spark, config.log_path, log.schema, checkpoint)
+    return pending_changes(spark, config.log_path, log.schema, checkpoint)
+
+
 @query(f"""
     SELECT event_id AS lsn, event_id // 7 AS tx_id, {_OP} AS op, ts AS commit_ts, user_id,
         event_type, value, props FROM events WHERE {_OP} IN ('I', 'U')

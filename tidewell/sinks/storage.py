@@ -34,6 +34,16 @@ def size_in_bytes(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(target).getLength()
 
 
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    """A folder of small files under a second name; a folder that is not there gives none."""
+    fs, place = _file_system(spark, source)
+    if fs.exists(place):
+        to_fs, to = _file_system(spark, target)
+        to_fs.mkdirs(to.getParent())
+        util = spark._jvm.org.apache.hadoop.fs.FileUtil
+        util.copy(fs, place, to_fs, to, False, spark._jsc.hadoopConfiguration())
+
+
 def remove(spark: SparkSession, path: str) -> bool:
     fs, target = _file_system(spark, path)
     return fs.exists(target) and fs.delete(target, True)

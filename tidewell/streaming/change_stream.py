@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewell.operators import changes
+from tidewell.session import new_scratch
 from tidewell.sinks import storage
 from tidewell.sinks.dataset import Dataset
 from tidewell.sources.changelog import LogConfig, shape, snapshots
@@ -66,7 +67,9 @@ def sync_changes(
     """Snapshot on the first run, then the stream behind it; returns when drained.
 
     Snapshot rows carry position 0, so changes that were logged while the copy was taken win
-    over it, and a snapshot that is repeated after a failure never overwrites a change.
+    over it, and a snapshot that is repeated after a failure never overwrites a change. With
+    ``flush`` off the changes are applied and the positions stay, so the next call reads them
+    again; they change nothing then.
     """
     if config.reset:  # the log is read anew as well, from a checkpoint that knows nothing
         storage.remove(spark, checkpoint)
@@ -77,6 +80,8 @@ def sync_changes(
                 table, rows, key, contract=contract, delete_mode=delete_mode, pipeline=pipeline,
                 reset=config.reset,
             )
+    if not config.flush:
+        checkpoint = _positions_apart(spark, checkpoint)
     log = read_log(spark, log_path, schema, files_per_batch)
     query = apply_stream(
         log, target, config.tables, key, checkpoint, config=config, delete_mode=delete_mode,
@@ -85,6 +90,38 @@ def sync_changes(
     query.awaitTermination()
 
 
+def _positions_apart(spark: SparkSession, checkpoint: str) -> str:
+    """A copy of a stream's checkpoint (a few small files) for a query that must not move it."""
+    apart = new_scratch(spark, "positions")
+    storage.copy(spark, checkpoint, apart)
+    return apart
+
+
+def pending_changes(
+    spark: SparkSession, log_path: str, schema: T.StructType, checkpoint: str
+) -> DataFrame:
+    """Changes behind the positions that a checkpoint has committed, as a batch; all of the log if
+    there is no checkpoint yet. The checkpoint stays as it is, so a second call gives the same.
+
+    A stream from a copy of the checkpoint drains them into a folder of its own, which only reads
+    the files that the stream itself would read next. Not while that stream is running.
+    """
+    out = new_scratch(spark, "pending")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        # A batch that is tried again replaces its own folder.
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    (
+        read_log(spark, log_path, schema).writeStream.foreachBatch(keep)
+        .option("checkpointLocation", _positions_apart(spark, checkpoint))
+        .trigger(availableNow=True).start().awaitTermination()
+    )
+    if not storage.exists(spark, out):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(out).select(*schema.fieldNames())
+
+
 def new_loads(spark: SparkSession, target: Dataset, schema: T.StructType) -> DataFrame:
     """Finished loads as a stream, for jobs that start when a table was loaded."""
     return (
