@@ -162,16 +162,19 @@ def schema_new_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT DISTINCT event_type AS table_name, 'u' || user_id AS column_name
+    SELECT DISTINCT event_type AS table_name,
+        'u' || user_id || '_' || json_extract_string(props, '$.k') AS column_name
     FROM events e WHERE ts >= TIMESTAMP '2024-01-15' AND NOT EXISTS (
         SELECT 1 FROM events o WHERE o.ts < TIMESTAMP '2024-01-15' AND o.event_type = e.event_type
-            AND o.user_id = e.user_id)
+            AND o.user_id = e.user_id
+            AND json_extract_string(o.props, '$.k') = json_extract_string(e.props, '$.k'))
 """)
 def schema_new_columns_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with a column per user, many of which only the second half brought."""
+    """The same with a column per user and k, many of which only the second half brought."""
     columns = table(spark, sf_dir, "events").select(
-        "ts", F.col("event_type").alias("table_name"), F.concat(F.lit("u"), "user_id").alias("column_name")
-    )
+        "ts", F.col("event_type").alias("table_name"),
+        F.concat(F.lit("u"), "user_id", F.lit("_"), F.get_json_object("props", "$.k")).alias("column_name"),
+    )
     late = F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")
     known = columns.filter(~late).select("table_name", "column_name").distinct()
     batch = columns.filter(late).select("table_name", "column_name").distinct()
