@@ -162,6 +162,48 @@ def tx_batches(
     )
 
 
+def transaction_cuts(
+    log: DataFrame, target_batch_size: int = 1000, slice_width: int = 1 << 24
+) -> DataFrame:
+    """Positions (``end_lsn``) after which a log may be cut without splitting a transaction.
+
+    Transactions whose positions overlap stay together; a batch takes those that begin within its
+    share of ``target_batch_size`` rows, so it exceeds the size by its last such group at most. A
+    change without a transaction is one of its own. The last cut is the end of the log.
+
+    Counting per transaction combines on the map side; running totals and the furthest position
+    so far then run per slice of the log, as in ``tx_batches``.
+    """
+    alone = F.when(F.col("tx_id").isNull(), F.col("lsn"))
+    txs = (
+        log.groupBy("tx_id", alone.alias("__alone"))
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.min("lsn").alias("lo"), F.max("lsn").alias("hi"))
+        .withColumn("__slice", F.expr(f"lo div {int(slice_width)}"))
+    )
+    ahead = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = (
+        txs.groupBy("__slice").agg(F.sum("n_rows").alias("__n"), F.max("hi").alias("__hi"))
+        .select(
+            "__slice", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__rows"),
+            F.max("__hi").over(ahead).alias("__reach"),
+        )
+    )
+    within = Window.partitionBy("__slice").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.greatest(F.max("hi").over(within), F.col("__reach"))  # skips nulls
+    before = F.coalesce(F.sum("n_rows").over(within), F.lit(0)) + F.col("__rows")
+    starts = (
+        txs.join(earlier, "__slice").select("lo", reach.alias("reach"), before.alias("before"))
+        .filter(F.col("reach").isNull() | (F.col("lo") > F.col("reach")))
+    )
+    # What lies before the first group of a batch ends the batch before it.
+    inner = starts.groupBy(F.floor(F.col("before") / target_batch_size).alias("batch")).agg(
+        F.min("reach").alias("end_lsn"), F.count_if(F.col("reach").isNull()).alias("first")
+    )
+    last = txs.agg(F.max("hi").alias("end_lsn"))
+    cuts = inner.filter(F.col("first") == 0).select("end_lsn").unionByName(last)
+    return cuts.filter(F.col("end_lsn").isNotNull())
+
+
 def replication_lag(
     slots: DataFrame, positions: DataFrame, max_lag: int = 64 * 1024 * 1024
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.scalars import lsn_diff
@@ -20,6 +20,7 @@ from tidewell.sinks.dataset import Dataset
 from tidewell.sources.changelog import LogConfig
 from tidewell.spec import PipelineSpec
 from tidewell.streaming.change_stream import apply_stream, pending_changes, read_log, sync_changes
+from tidewell.streaming.transactions import drain_transactions, sync_transactions
 
 KEY = ["user_id"]
 
@@ -247,6 +248,78 @@ def cdc_shadow_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pending_changes(spark, config.log_path, log.schema, checkpoint)
 
 
+def _interleaved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column, int]:
+    """The log with transactions of seven changes, three of them under way at any time; which
+    changes come late; and a sixth of its rows."""
+    log = change_log(spark, sf_dir).withColumn("tx_id", F.expr("lsn div 21 * 3 + lsn % 3"))
+    facts = log.agg(F.max("lsn").alias("newest"), F.count(F.lit(1)).alias("n")).first()
+    return log, F.col("lsn") >= facts["newest"] // 42 * 21, max(1, facts["n"] // 6)
+
+
+@query("""
+    WITH log AS (SELECT event_id, event_id // 21 * 3 + event_id % 3 AS tx_id,
+            event_id >= (SELECT max(event_id) // 42 * 21 FROM events) AS late FROM events),
+        tx AS (SELECT late, tx_id, count(*) AS n_rows, min(event_id) AS lo, max(event_id) AS hi
+            FROM log GROUP BY ALL),
+        seen AS (SELECT *, max(hi) OVER earlier AS reach, coalesce(sum(n_rows) OVER earlier, 0) AS before
+            FROM tx WINDOW earlier AS (PARTITION BY late ORDER BY lo
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        grouped AS (SELECT *, count(*) FILTER (reach IS NULL OR lo > reach)
+                OVER (PARTITION BY late ORDER BY lo) AS together FROM seen),
+        batched AS (SELECT *, min(before) OVER (PARTITION BY late, together)
+                // (SELECT greatest(1, count(*) // 6) FROM events) AS batch FROM grouped)
+    SELECT tx_id, hi AS commit_lsn, n_rows, max(hi) OVER (PARTITION BY late, batch) AS end_lsn
+    FROM batched
+""")
+def cdc_stream_whole_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interleaved transactions, drained in batches before and after the log grew: the batch of
+    each, counted where it was handed over, so that one that is split shows twice."""
+    scratch = new_scratch(spark, "whole-tx")
+    log, late, size = _interleaved(spark, sf_dir)
+
+    def count(part: DataFrame, after: int, end: int) -> None:
+        part.groupBy("tx_id").agg(
+            F.max("lsn").alias("commit_lsn"), F.count(F.lit(1)).alias("n_rows")
+        ).withColumn("end_lsn", F.lit(end).cast("bigint")).write.mode("overwrite").parquet(
+            f"{scratch}/batches/batch={end}"
+        )
+
+    for part in (log.filter(~late), log.filter(late)):
+        part.write.mode("append").parquet(f"{scratch}/log")
+        stored = spark.read.schema(log.schema).parquet(f"{scratch}/log")
+        drain_transactions(spark, stored, f"{scratch}/checkpoint", count, size)
+    return spark.read.parquet(f"{scratch}/batches").drop("batch")
+
+
+@query(f"""
+    SELECT CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS table_name, user_id, value, event_type,
+        props, _lsn, _deleted_at FROM ({_LATEST})
+""")
+def cdc_sync_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables of one log, kept up to date in batches of whole transactions; the last call finds
+    nothing new."""
+    scratch = new_scratch(spark, "sync-tx")
+    log, late, size = _interleaved(spark, sf_dir)
+    odd = F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd")
+    log = log.withColumn("table_name", odd)
+    config = LogConfig(
+        slot="s", tables=["even", "odd"], log_path=f"{scratch}/log", snapshot_path=None,
+        publish=changes.DEFAULT_PUBLISH, reset=False, include={}, hints={}, batch_size=3 * size,
+        flush=True,
+    )
+    target = Dataset(spark, scratch, "raw")
+    for part in (log.filter(~late), log.filter(late), None):
+        if part is not None:
+            part.write.mode("append").parquet(config.log_path)
+        sync_transactions(
+            spark, config.log_path, log.schema, target, config, KEY, f"{scratch}/checkpoint"
+        )
+    even, other = (
+        _with_columns(target.read(t)).withColumn("table_name", F.lit(t)) for t in config.tables
+    )
+    return even.unionByName(other)
+
+
 @query(f"""
     SELECT event_id AS lsn, event_id // 7 AS tx_id, {_OP} AS op, ts AS commit_ts, user_id,
         event_type, value, props FROM events WHERE {_OP} IN ('I', 'U')

@@ -29,8 +29,8 @@ DEFAULT_BATCH_SIZE = 1000
 class LogConfig:
     """The checked settings of a change-log source.
 
-    A load takes all changes there are, so it never splits a transaction; ``batch_size`` is for
-    callers that cut the log themselves with ``tx_batches``.
+    A load takes all changes there are, so it never splits a transaction; ``sync_transactions``
+    takes them in batches of about ``batch_size``.
     """
 
     slot: str

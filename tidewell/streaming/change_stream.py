@@ -27,6 +27,27 @@ def read_log(
     return reader.parquet(path)
 
 
+def apply_tables(
+    batch: DataFrame, target: Dataset, tables: Sequence[str], key: Sequence[str],
+    *, config: LogConfig | None = None, delete_mode: str = "soft", pipeline: str = "",
+    contract: str = "evolve",
+) -> None:
+    """One batch of changes into its tables."""
+    # Several tables read the same batch: keep it, on disk where memory is short.
+    shared = len(tables) > 1
+    if shared:
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for table, part in changes.demux(batch, tables).items():
+            part = shape(part, table, list(key), config) if config else part
+            target.apply(
+                table, part, key, contract=contract, delete_mode=delete_mode, pipeline=pipeline
+            )
+    finally:
+        if shared:
+            batch.unpersist()
+
+
 def apply_stream(
     log: DataFrame, target: Dataset, tables: Sequence[str], key: Sequence[str], checkpoint: str,
     *, config: LogConfig | None = None, delete_mode: str = "soft", pipeline: str = "",
@@ -40,25 +61,32 @@ def apply_stream(
     """
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
-        # Several tables read the same batch: keep it, on disk where memory is short.
-        shared = len(tables) > 1
-        if shared:
-            batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            for table, part in changes.demux(batch, tables).items():
-                part = shape(part, table, list(key), config) if config else part
-                target.apply(
-                    table, part, key, contract=contract, delete_mode=delete_mode, pipeline=pipeline
-                )
-        finally:
-            if shared:
-                batch.unpersist()
+        apply_tables(
+            batch, target, tables, key, config=config, delete_mode=delete_mode, pipeline=pipeline,
+            contract=contract,
+        )
 
     writer = log.writeStream.foreachBatch(apply_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if continuous else writer.trigger(availableNow=True)
     return writer.start()
 
 
+def prepare(
+    spark: SparkSession, target: Dataset, config: LogConfig, key: Sequence[str], checkpoint: str,
+    *, delete_mode: str = "soft", pipeline: str = "", contract: str = "evolve",
+) -> None:
+    """A reset forgets the positions; tables that are not there yet begin with their copy."""
+    if config.reset:  # the log is read anew as well, from a checkpoint that knows nothing
+        storage.remove(spark, checkpoint)
+    for table, copy in snapshots(spark, config).items():
+        if config.reset or target.head(table) is None:
+            rows = shape(copy, table, list(key), config)
+            target.apply(
+                table, rows, key, contract=contract, delete_mode=delete_mode, pipeline=pipeline,
+                reset=config.reset,
+            )
+
+
 def sync_changes(
     spark: SparkSession, log_path: str, schema: T.StructType, target: Dataset, config: LogConfig,
     key: Sequence[str], checkpoint: str, *, files_per_batch: int | None = None,
@@ -71,17 +99,12 @@ def sync_changes(
     ``flush`` off the changes are applied and the positions stay, so the next call reads them
     again; they change nothing then.
     """
-    if config.reset:  # the log is read anew as well, from a checkpoint that knows nothing
-        storage.remove(spark, checkpoint)
-    for table, copy in snapshots(spark, config).items():
-        if config.reset or target.head(table) is None:
-            rows = shape(copy, table, list(key), config)
-            target.apply(
-                table, rows, key, contract=contract, delete_mode=delete_mode, pipeline=pipeline,
-                reset=config.reset,
-            )
+    prepare(
+        spark, target, config, key, checkpoint, delete_mode=delete_mode, pipeline=pipeline,
+        contract=contract,
+    )
     if not config.flush:
-        checkpoint = _positions_apart(spark, checkpoint)
+        checkpoint = positions_apart(spark, checkpoint)
     log = read_log(spark, log_path, schema, files_per_batch)
     query = apply_stream(
         log, target, config.tables, key, checkpoint, config=config, delete_mode=delete_mode,
@@ -90,7 +113,7 @@ def sync_changes(
     query.awaitTermination()
 
 
-def _positions_apart(spark: SparkSession, checkpoint: str) -> str:
+def positions_apart(spark: SparkSession, checkpoint: str) -> str:
     """A copy of a stream's checkpoint (a few small files) for a query that must not move it."""
     apart = new_scratch(spark, "positions")
     storage.copy(spark, checkpoint, apart)
@@ -114,7 +137,7 @@ def pending_changes(
 
     (
         read_log(spark, log_path, schema).writeStream.foreachBatch(keep)
-        .option("checkpointLocation", _positions_apart(spark, checkpoint))
+        .option("checkpointLocation", positions_apart(spark, checkpoint))
         .trigger(availableNow=True).start().awaitTermination()
     )
     if not storage.exists(spark, out):
