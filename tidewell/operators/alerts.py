@@ -28,6 +28,7 @@ KINDS = ("failure", "schema", "sla", "heartbeat")
 _PART, _KEY, _TIME, _LAST = "__part", "__key", "__micros", "__last"
 _ENTRY_SCHEMA = f"{_KEY} string, {_PART} int, enters_to bigint, leaves_on bigint"
 _CARRY_SCHEMA = f"{_KEY} string, {_PART} int, {_LAST} bigint"
+BLOCK = 8
 
 
 def _segments(keys: pa.Array) -> list[tuple[int, int]]:
@@ -90,11 +91,46 @@ def _summarize(window: int):
     return run
 
 
-def _carry(window: int):
-    def run(table: pd.DataFrame) -> pd.DataFrame:
+def _through(tables: pd.DataFrame, window: int) -> list[tuple[int, int]]:
+    """How a walk passes neighbouring ranges one after the other: their tables as a single one."""
+    enters: np.ndarray | None = None
+    for _, rows in tables.sort_values([_PART, "enters_to"]).groupby(_PART, sort=True):
+        to, on = rows["enters_to"].to_numpy(), rows["leaves_on"].to_numpy()
+        if enters is None:
+            enters, leaves = to, on
+            continue
+        # Walks that send before this range come into it with their last alert ...
+        at = np.searchsorted(to, leaves + window)
+        passed = np.where(at < len(to), on[np.minimum(at, len(to) - 1)], leaves)
+        # ... and those that were to send after all of it come into this one unchanged.
+        later = to > enters[-1]
+        enters, leaves = np.append(enters, to[later]), np.append(passed, on[later])
+    ends = np.append(np.flatnonzero(leaves[1:] != leaves[:-1]), len(leaves) - 1)
+    return [(int(enters[i]), int(leaves[i])) for i in ends]
+
+
+def _compose(window: int):
+    """The tables of a block of ranges as the table of one wider range."""
+
+    def run(tables: pd.DataFrame) -> pd.DataFrame:
+        rows = _through(tables, window)
+        return pd.DataFrame(
+            {
+                _KEY: tables[_KEY].iloc[0], _PART: int(tables[_PART].iloc[0]) // BLOCK,
+                "enters_to": [r[0] for r in rows], "leaves_on": [r[1] for r in rows],
+            }
+        )
+
+    return run
+
+
+def _carry_on(window: int):
+    """The last alert sent before each of a block's ranges, given the one before the block."""
+
+    def run(tables: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[str, int, int | None]] = []
-        last: int | None = None
-        for part, rows in table.sort_values([_PART, "enters_to"]).groupby(_PART, sort=True):
+        last = int(before[_LAST].iloc[0]) if len(before) else None
+        for part, rows in tables.sort_values([_PART, "enters_to"]).groupby(_PART, sort=True):
             out.append((rows[_KEY].iloc[0], part, last))
             entry = 0
             if last is not None:
@@ -106,6 +142,39 @@ def _carry(window: int):
     return run
 
 
+def _carry(window: int):
+    """The same for a key's first block."""
+    carry_on, nothing = _carry_on(window), pd.DataFrame()
+    return lambda tables: carry_on(tables, nothing)
+
+
+def _handed_over(entries: DataFrame, window: int, parts: int) -> DataFrame:
+    """``(key, part, last)``: the last alert sent before each range, where there is one.
+
+    The tables of neighbouring ranges of a key are composed in blocks of ``BLOCK``, those of the
+    blocks again, until a key has one block; then each block tells its members what they get. So
+    no group holds more than ``BLOCK`` tables, however many ranges a key has, in a number of
+    rounds that grows with the logarithm of the ranges.
+    """
+    levels = [entries]
+    reach = BLOCK
+    while reach < parts:
+        # Read on the way up and on the way down.
+        levels[-1] = levels[-1].checkpoint()
+        block = F.expr(f"cast({_PART} div {BLOCK} as int)")
+        levels.append(levels[-1].groupBy(_KEY, block).applyInPandas(_compose(window), _ENTRY_SCHEMA))
+        reach *= BLOCK
+    carried = levels.pop().groupBy(_KEY).applyInPandas(_carry(window), _CARRY_SCHEMA)
+    carried = carried.filter(F.col(_LAST).isNotNull())
+    while levels:
+        members = levels.pop().groupBy(_KEY, F.expr(f"cast({_PART} div {BLOCK} as int)"))
+        carried = (
+            members.cogroup(carried.groupBy(_KEY, _PART))
+            .applyInPandas(_carry_on(window), _CARRY_SCHEMA).filter(F.col(_LAST).isNotNull())
+        )
+    return carried
+
+
 def _flag(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: str | None = None
@@ -142,8 +211,8 @@ def suppress_alerts(
 
     The rule is a walk along each key's alerts. A hot key's walk is not run in one task: the
     alerts are sorted into ranges of key and time that may cut through a key, each range
-    tells how a walk would pass it, these short tables are chained per key, and every range
-    then flags its rows knowing how its first key came in. The sorted ranges are
+    tells how a walk would pass it, these short tables are composed in blocks of neighbours,
+    and every range then flags its rows knowing how its first key came in. The sorted ranges are
     checkpointed, so that all steps see the same ones and a lost executor costs no re-sort.
     """
     if window_minutes <= 0:
@@ -160,11 +229,8 @@ def suppress_alerts(
         .withColumn(_PART, F.spark_partition_id())
         .checkpoint()
     )
-    carried = (
-        ranged.select(_KEY, _PART, _TIME).mapInArrow(_summarize(window), _ENTRY_SCHEMA)
-        .groupBy(_KEY).applyInPandas(_carry(window), _CARRY_SCHEMA)
-        .filter(F.col(_LAST).isNotNull())
-    )
+    entries = ranged.select(_KEY, _PART, _TIME).mapInArrow(_summarize(window), _ENTRY_SCHEMA)
+    carried = _handed_over(entries, window, parts)
     # At most two keys per range: the size is bounded by the number of ranges.
     joined = ranged.join(F.broadcast(carried), [_KEY, _PART], "left")
     schema = T.StructType([*alerts.schema.fields, T.StructField("deduped", T.BooleanType())])

@@ -45,6 +45,14 @@ def alert_dedup_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppress_alerts(alerts, ["event_type"], "ts", "event_id", 180, parts=32)
 
 
+@query(_walk("event_type", 4320))
+def alert_dedup_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five keys in ranges that are shorter than the window, so that a range's table holds an entry
+    for many of its alerts; more ranges than one block takes."""
+    alerts = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    return suppress_alerts(alerts, ["event_type"], "ts", "event_id", 4320, parts=96)
+
+
 @query(_walk("user_id, event_type", 15))
 def alert_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rule with keyed state, over alerts that come as three files in time order."""
