@@ -10,6 +10,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from urllib.parse import urlparse
 
 import numpy as np
 import public_tokenizers
@@ -369,6 +370,34 @@ def test_repeated_strings(docs, rows, none, monkeypatch):
     assert suffixes.repeated_strings(none).count() == 0
 
 
+def test_carried_text_is_staged_once(spark, monkeypatch):
+    pick = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ."
+    texts = ["".join(pick.choice(letters) for _ in range(3000)) for _ in range(40)]
+    texts += [texts[0], texts[1][:1500] + texts[2][:1500], None, ""]
+    rows = [(k, t, "en", "web", None if t is None else len(t), k % 3, "s", k) for k, t in enumerate(texts)]
+    docs = stage(spark.createDataFrame(rows, SCHEMA).repartition(3), "test-carried")
+    given = sum(os.path.getsize(urlparse(f).path) for f in docs.inputFiles())
+    written = {}
+
+    def measured(frame, label):
+        out = stage(frame, label)
+        written[label] = sum(os.path.getsize(urlparse(f).path) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(suffixes, "stage", measured)
+    plain = {r["doc_id"]: r for r in suffixes.repeated_strings(docs).collect()}
+    carried = suffixes.repeated_strings(docs, carry=True).collect()
+    assert written["suffix-met"] < 1.3 * given
+    assert {r["row"]["doc_id"]: tuple(r["row"]) for r in carried} == {r[0]: r for r in rows}
+    assert {r["doc_id"]: r.asDict() for r in carried if r["row"]} == {
+        k: r.asDict() | {"row": carried_row, "kept": kept}
+        for k, r in plain.items()
+        for carried_row, kept in [next((c["row"], c["kept"]) for c in carried if c["doc_id"] == k)]
+    }
+    assert sum(r["n_removed"] for r in plain.values()) >= 3000 + 1400
+
+
 def test_anchors_do_not_depend_on_pieces(monkeypatch):
     pick = random.Random(4)
     text = bytes(pick.choice(b"ab") for _ in range(3000))
