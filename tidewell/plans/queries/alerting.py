@@ -55,10 +55,13 @@ def alert_dedup_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_walk("user_id, event_type", 15))
 def alert_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rule with keyed state, over alerts that come as three files in time order."""
+    """The same rule with keyed state, over alerts that come in three parts in time order. A part is
+    written by as many tasks as read it, and is one micro-batch: the stream goes on from its
+    checkpoint with what came since."""
     scratch = new_scratch(spark, "alert-stream")
     keys = ["user_id", "event_type"]
     events = table(spark, sf_dir, "events").select("event_id", "ts", *keys)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     bounds = [None, "2024-01-11", "2024-01-21", None]
     for lower, upper in zip(bounds, bounds[1:]):
         part = events
@@ -66,18 +69,14 @@ def alert_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
             part = part.filter(F.col("ts") >= F.lit(lower).cast("timestamp_ntz"))
         if upper:
             part = part.filter(F.col("ts") < F.lit(upper).cast("timestamp_ntz"))
-        part.coalesce(1).write.mode("append").parquet(f"{scratch}/alerts")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    stream = (
-        spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
-        .parquet(f"{scratch}/alerts")
-    )
-    flagged = suppress_stream(stream, keys, "ts", "event_id", 15)
-    (
-        flagged.writeStream.format("parquet").option("path", f"{scratch}/out")
-        .option("checkpointLocation", f"{scratch}/checkpoint").trigger(availableNow=True)
-        .start().awaitTermination()
-    )
+        part.write.mode("append").parquet(f"{scratch}/alerts")
+        stream = spark.readStream.schema(events.schema).parquet(f"{scratch}/alerts")
+        flagged = suppress_stream(stream, keys, "ts", "event_id", 15)
+        (
+            flagged.writeStream.format("parquet").option("path", f"{scratch}/out")
+            .option("checkpointLocation", f"{scratch}/checkpoint").trigger(availableNow=True)
+            .start().awaitTermination()
+        )
     return spark.read.schema(flagged.schema).parquet(f"{scratch}/out")
 
 
