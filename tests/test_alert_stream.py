@@ -76,6 +76,22 @@ def test_keys_that_differ_by_a_microsecond(spark, rocksdb, tmp_path):
     assert {r.event_id for r in rows if not r.deduped} == {0, 1, 2}
 
 
+def test_a_key_without_a_number_leaves_the_others_apart(spark, rocksdb, tmp_path):
+    """Numbers beside a NULL reach Python as floats; as state keys they were all one."""
+    rng = random.Random(3)
+    alerts = [
+        ((rng.choice([None, 1, 2, 3]), rng.choice([None, "x", "y"])), T0 + timedelta(seconds=7 * i), i)
+        for i in range(1200)
+    ]
+    parts = [[(*key, ts, i) for key, ts, i in part] for part in in_thirds(alerts)]
+    rows, _ = drain(
+        spark, tmp_path, parts, 15, keys=["user", "kind"],
+        schema="user bigint, kind string, ts timestamp_ntz, event_id bigint",
+    )
+    assert {((r.user, r.kind), r.ts, r.event_id) for r in rows} == set(alerts)
+    assert {r.event_id for r in rows if not r.deduped} == brute(alerts, 15)
+
+
 def test_calls_do_not_grow_with_the_keys(spark, rocksdb, tmp_path):
     """One state row is one call of a micro-batch: at most one a bucket, not one a key."""
     parts = [
